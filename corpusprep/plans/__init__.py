@@ -1,6 +1,6 @@
 """The registered queries; importing this package registers them all."""
 
-from corpusprep.plans import cleaning, records
+from corpusprep.plans import cleaning, packing, records, tokens
 from corpusprep.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cleaning", "records"]
+__all__ = ["ORACLES", "QUERIES", "cleaning", "packing", "records", "tokens"]

@@ -229,7 +229,7 @@ def _render_sql(begin: str, before: str, after: str, end: str) -> str:
     def turn(role: str, text: str) -> str:
         return _turn_sql(before, after, end, role, text)
 
-    return f"""{_PAIRS} SELECT conv_id, '{begin}'
+    return f"""SELECT conv_id, '{begin}'
       || CASE WHEN {duck.strip("system")} <> '' THEN {turn("system", "system")} ELSE '' END
       || {turn("user", '"user"')} || {turn("assistant", "assistant")} AS example
       FROM pairs WHERE "user" IS NOT NULL AND assistant IS NOT NULL"""
@@ -241,16 +241,17 @@ def _rendered(t: Tables, template: str) -> DataFrame:
     return pairs.select("conv_id", example.alias("example"))
 
 
-@query(
-    _render_sql(
-        "<|begin_of_text|>", "<|start_header_id|>", "'<|end_header_id|>' || chr(10) || chr(10)", "'<|eot_id|>'"
-    )
+_HEADER_SQL = _render_sql(
+    "<|begin_of_text|>", "<|start_header_id|>", "'<|end_header_id|>' || chr(10) || chr(10)", "'<|eot_id|>'"
 )
+
+
+@query(_PAIRS + _HEADER_SQL)
 def render_chat(t: Tables) -> DataFrame:
     return _rendered(t, "header")
 
 
-@query(_render_sql("", "<|im_start|>", "chr(10)", "'<|im_end|>' || chr(10)"))
+@query(_PAIRS + _render_sql("", "<|im_start|>", "chr(10)", "'<|im_end|>' || chr(10)"))
 def render_chatml(t: Tables) -> DataFrame:
     return _rendered(t, "chatml")
 
