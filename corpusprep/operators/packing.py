@@ -56,24 +56,22 @@ def stretches(df: DataFrame, stride: int, halo: int, group: Sequence[str] = ())
     Returns the group columns, ``stretch`` and ``tokens`` (at most stride + halo
     of them). Examples are sliced before they are shuffled, by stretch number.
     """
-    first = F.greatest(F.floor((F.col("offset") - halo) / stride), F.lit(0))
-    last = F.floor((F.col("offset") + F.size("ids") - 1) / stride)
-
-    def piece(stretch: Column) -> Column:
-        start = F.greatest(stretch * stride, F.col("offset"))
-        stop = F.least(
-            stretch * stride + stride + halo, F.col("offset") + F.size("ids").cast("bigint")
-        )
-        length = F.greatest(stop - start, F.lit(0)).cast("int")
-        cut = F.slice(F.col("ids"), (start - F.col("offset") + 1).cast("int"), length)
-        return F.struct(stretch.alias("stretch"), start.alias("start"), cut.alias("cut"))
-
-    pieces = F.when(F.size("ids") > 0, F.transform(F.sequence(first, last), piece))
+    start, end = F.col("offset"), F.col("offset") + F.size("ids").cast("bigint")
+    first = F.greatest(F.floor((start - halo) / stride), F.lit(0))
+    last = F.floor((end - 1) / stride)
+    reached = F.when(F.size("ids") > 0, F.sequence(first, last))
+    opens = F.col("stretch") * stride
+    place = F.greatest(opens, start)
+    length = F.least(opens + stride + halo, end) - place
+    # Sliced after the explode, where generated code copies only the slice.
+    pieces = df.select(*group, "offset", "ids", F.explode(reached).alias("stretch")).select(
+        *group,
+        "stretch",
+        place.alias("start"),
+        F.slice("ids", (place - start + 1).cast("int"), length.cast("int")).alias("cut"),
+    )
     return (
-        df.select(*group, F.explode(pieces).alias("p"))
-        .select(*group, "p.*")
-        .filter(F.size("cut") > 0)
-        .groupBy(*group, "stretch")
+        pieces.groupBy(*group, "stretch")
         .agg(F.sort_array(F.collect_list(F.struct("start", "cut"))).alias("cuts"))
         .select(*group, "stretch", F.flatten("cuts.cut").alias("tokens"))
     )
@@ -104,19 +102,19 @@ def sliding_windows(
     need = block + 1 if exact else block + 2
     step = max(block, _STRETCH)
     starts = F.least(F.size("tokens") - need + 1, F.lit(step))
-    windows = F.when(
-        starts > 0,
-        F.transform(
-            F.sequence(F.lit(0), starts - 1),
-            lambda i: F.struct(
-                (F.col("stretch") * step + i).alias("start"),
-                F.slice(F.col("tokens"), i + 1, F.lit(block)).alias("x"),
-                F.slice(F.col("tokens"), i + 2, F.lit(block)).alias("y"),
-            ),
-        ),
-    )
     cut = stretches(df, stride=step, halo=need - 1, group=group)
-    return cut.select(*group, F.explode(windows).alias("w")).select(*group, "w.*")
+    placed = cut.select(
+        *group,
+        "stretch",
+        "tokens",
+        F.explode(F.when(starts > 0, F.sequence(F.lit(0), starts - 1))).alias("i"),
+    )
+    return placed.select(
+        *group,
+        (F.col("stretch") * step + F.col("i")).alias("start"),
+        F.slice("tokens", F.col("i") + 1, F.lit(block)).alias("x"),
+        F.slice("tokens", F.col("i") + 2, F.lit(block)).alias("y"),
+    )
 
 
 def shifted_targets(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:

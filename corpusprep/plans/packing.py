@@ -116,17 +116,25 @@ def _windows_sql(count: str) -> str:
         UNION ALL SELECT pos // {step} - 1, pos, token FROM stream WHERE pos % {step} < {WINDOW + 1} AND pos >= {step})
       GROUP BY stretch),
     starts AS (SELECT stretch, tokens, unnest(range(0, {step})) AS i FROM parts),
-    windows AS (SELECT stretch, tokens[i + 1 : i + {WINDOW}] AS x, tokens[i + 2 : i + {WINDOW + 1}] AS y
+    windows AS (SELECT stretch, i, tokens[i + 1 : i + {WINDOW}] AS x, tokens[i + 2 : i + {WINDOW + 1}] AS y
       FROM starts, total WHERE stretch * {step} + i < {count})
-    SELECT cast(stretch AS bigint) AS stretch, count(*) AS windows, cast(sum({_digest_sql("x")}) AS bigint) AS x,
-      cast(sum({_digest_sql("y")}) AS bigint) AS y FROM windows GROUP BY 1"""
+    SELECT cast(stretch AS bigint) AS stretch, count(*) AS windows, cast(sum(len(x) + len(y)) AS bigint) AS entries,
+      cast(sum((i + 1) * (x[1] + 31 * x[-1])) AS bigint) AS x,
+      cast(sum((i + 1) * (y[1] + 31 * y[-1])) AS bigint) AS y FROM windows GROUP BY 1"""
 
 
 def _window_sums(windows: DataFrame) -> DataFrame:
+    """Sizes and ends of the windows, weighted by position."""
+    place = F.col("start") % 1024 + 1
+
+    def ends(name: str) -> Column:
+        return F.sum(place * (F.element_at(name, 1) + F.element_at(name, -1) * 31)).alias(name)
+
     return windows.groupBy(F.floor(F.col("start") / 1024).alias("stretch")).agg(
         F.count("*").alias("windows"),
-        F.sum(_digest(F.col("x"))).alias("x"),
-        F.sum(_digest(F.col("y"))).alias("y"),
+        F.sum(F.size("x") + F.size("y")).alias("entries"),
+        ends("x"),
+        ends("y"),
     )
 
 

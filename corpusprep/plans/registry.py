@@ -20,7 +20,13 @@ class Tables:
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # A small file is one row group and would keep one core busy; a table
+        # that already has work for every core is not shuffled.
+        cores = self.spark.sparkContext.defaultParallelism
+        if table.rdd.getNumPartitions() < cores:
+            table = table.repartition(cores)
+        return table
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """Run SQL whose ``{table}`` names are the given frames or tables of the folder."""

@@ -13,6 +13,7 @@ from corpusprep.plans import duck
 from corpusprep.plans.fixtures import configs, ctes, json_lines
 from corpusprep.plans.records import _SFT
 from corpusprep.plans.registry import Tables, query
+from corpusprep.session import cut_lineage
 
 _BLOCK, _BATCH, _EPOCHS = 64, 4, 2
 _TEXT = duck.byte_list("text")
@@ -48,7 +49,8 @@ def _estimates(limits: list[tuple[int, int]]) -> str:
     rows = " UNION ALL ".join(f"SELECT {a} AS max_bytes, {b} AS max_examples, * FROM ({_estimate_sql(a, b)})" for a, b in limits)
     return f"""{_SFT}, sized AS (SELECT l.line_no, octet_length(encode(l.raw)) + 1 AS n_bytes,
         coalesce(json_valid({duck.strip("l.raw")}), false) AND {duck.strip("l.raw")}[1] = '{{' AS parsed,
-        CASE WHEN e.line_no IS NULL THEN 0 ELSE 1 END AS valid, len({duck.byte_list("e.example")}) AS n_tokens
+        CASE WHEN e.line_no IS NULL THEN 0 ELSE 1 END AS valid,
+        CASE WHEN e.line_no IS NOT NULL THEN len({duck.byte_list("e.example")}) END AS n_tokens
       FROM json_lines l LEFT JOIN examples e USING (line_no)),
     counted AS (SELECT *, sum(n_bytes) OVER (ORDER BY line_no) AS bytes_read, sum(valid) OVER (ORDER BY line_no) AS lines_seen FROM sized),
     totals AS ({rows})
@@ -74,6 +76,7 @@ def estimate_steps(t: Tables) -> DataFrame:
         .withColumn("parsed", F.coalesce("parsed", F.lit(False)))
         .withColumn("valid", F.col("n_tokens").isNotNull())
     )
+    facts = cut_lineage(facts)  # three estimates read it, twice each
 
     def estimate(max_bytes: int, max_examples: int) -> DataFrame:
         row = Z.estimate_steps(facts, _BLOCK, _BATCH, max_bytes, max_examples)
