@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from corpusprep.functions.tokens import (
     BOS, EOS, FIRST_BYTE, FIRST_LEARNED, MARKER_IDS, MARKER_PATTERN, SPACE_MARK, UNK, WORD_PATTERN,
 )
 
+# The helpers travel with the functions, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_VOCAB = 2_000_000
 _CACHED_WORDS = 200_000
 _CACHED_LENGTH = 64

@@ -45,7 +45,9 @@ def with_offsets(
 
 def token_stream(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """(pos, token) rows of a frame made by `with_offsets`."""
-    return df.select(*group, "offset", F.posexplode("ids").alias("_i", "token")).select(
+    # Outer, as an inner explode infers a filter on the array and computes it twice.
+    rows = df.select(*group, "offset", F.posexplode_outer("ids").alias("_i", "token"))
+    return rows.filter(F.col("token").isNotNull()).select(
         *group, (F.col("offset") + F.col("_i")).alias("pos"), "token"
     )
 

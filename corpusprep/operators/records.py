@@ -61,7 +61,8 @@ def corpus_fields(records: DataFrame, keep: Sequence[str]) -> DataFrame:
 def corpus_messages(records: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per message with non-blank string content, cleaned."""
     messages = F.try_variant_get(F.col("record"), "$.messages", "array<variant>")
-    rows = records.select(*keep, F.posexplode(messages).alias("message_rank", "m"))
+    # Outer, as an inner explode infers a filter on the array and computes it twice.
+    rows = records.select(*keep, F.posexplode_outer(messages).alias("message_rank", "m"))
     value = _string(_member(F.col("m"), "content"))
     return _cleaned(rows.select(*keep, "message_rank", value.alias("value")))
 

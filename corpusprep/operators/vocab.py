@@ -38,14 +38,16 @@ def base_vocab(spark: SparkSession) -> DataFrame:
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all lines of a text column."""
-    lines = df.select(F.explode(F.split(F.col(text), ANY_NEWLINE)).alias("line"))
-    found = lines.select(F.explode(words(F.col("line"))).alias("word"))
-    return found.groupBy("word").agg(F.count("*").alias("n"))
+    # Outer explodes, as inner ones infer a filter on the array and compute it twice.
+    lines = df.select(F.explode_outer(F.split(F.col(text), ANY_NEWLINE)).alias("line"))
+    found = lines.select(F.explode_outer(words(F.col("line"))).alias("word"))
+    counts = found.groupBy("word").agg(F.count("*").alias("n"))
+    return counts.filter(F.col("word").isNotNull())
 
 
 def char_counts(counts: DataFrame) -> DataFrame:
     """(char, n); never more rows than there are code points."""
-    chars = counts.select(F.explode(F.split("word", "")).alias("char"), "n")
+    chars = counts.select(F.explode_outer(F.split("word", "")).alias("char"), "n")
     return chars.groupBy("char").agg(F.sum("n").alias("n"))
 
 
@@ -60,12 +62,12 @@ def symbol_strings(counts: DataFrame) -> DataFrame:
 def pair_counts(symbols: DataFrame) -> DataFrame:
     """(left, right, n) over neighbouring symbols, weighted by word count."""
     ids = F.regexp_extract_all("symbols", F.lit(r"\d+"), F.lit(0)).cast("array<int>")
-    listed = symbols.select(ids.alias("ids"), "n").filter(F.size("ids") > 1)
+    listed = symbols.select(ids.alias("ids"), "n")
     pairs = F.arrays_zip(
         F.slice("ids", F.lit(1), F.size("ids") - 1).alias("left"),
         F.slice("ids", F.lit(2), F.size("ids") - 1).alias("right"),
     )
-    rows = listed.select(F.explode(pairs).alias("p"), "n")
+    rows = listed.select(F.explode_outer(pairs).alias("p"), "n").filter(F.col("p").isNotNull())
     return rows.groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right")).agg(
         F.sum("n").alias("n")
     )

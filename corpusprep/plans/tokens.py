@@ -193,7 +193,7 @@ _BASE = f"""base AS (
 
 
 def _document_tokens(t: Tables) -> DataFrame:
-    return t.documents.select(F.explode(K.byte_ids(F.col("text"))).alias("token"))
+    return t.documents.select(F.explode_outer(K.byte_ids(F.col("text"))).alias("token"))
 
 
 @query(
@@ -227,7 +227,7 @@ def token_lookup(t: Tables) -> DataFrame:
 def stop_ids(t: Tables) -> DataFrame:
     """Stop ids of the vocabulary that each table uses."""
     base = vocab.base_vocab(t.spark)
-    chat = _rendered(t, "header").select(F.explode(K.byte_ids(F.col("example"))).alias("token"))
+    chat = _rendered(t, "header").select(F.explode_outer(K.byte_ids(F.col("example"))).alias("token"))
 
     def stops(source: str, tokens: DataFrame) -> DataFrame:
         used = encode.token_lookup(tokens, base).filter("n > 0")
