@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusprep.session import cut_lineage, shuffle_width
+from corpusprep.session import cut_lineage, join_groups, shuffle_width
 
 
 def slice_rows(
@@ -63,7 +63,7 @@ def running(
     local = valued.withColumns(
         {f"_l_{n}": F.coalesce(function(f"_v_{n}").over(inside), zero) for n in values}
     )
-    return local.join(carried, [*group, "slice"]).select(
+    return join_groups(local, carried, group, ["slice"]).select(
         *sliced.columns,
         *[combine(F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n in values],
     )
@@ -82,7 +82,7 @@ def previous_value(
     )
     inside = W.partitionBy(*group, "slice").orderBy(*order)
     local = sliced.withColumn("_before", F.lag(F.struct(F.col(value))).over(inside))
-    return local.join(carried, [*group, "slice"]).select(
+    return join_groups(local, carried, group, ["slice"]).select(
         *sliced.columns, F.coalesce("_before", "_carried")[value].alias(name)
     )
 
@@ -94,4 +94,4 @@ def group_values(
     group = list(group)
     whole = sliced.groupBy(*group).agg(*aggregates)
     present = sliced.select(*group, "slice").distinct()
-    return sliced.join(present.join(whole, group), [*group, "slice"])
+    return join_groups(sliced, join_groups(present, whole, group, []), group, ["slice"])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusprep.functions.tokens import BOS, EOS
 from corpusprep.operators.ordered import running
 from corpusprep.operators.prefix import running_totals, shuffled_rank
+from corpusprep.session import join_groups
 
 # Starts per stretch of the sliding windows; bounds the array one row holds.
 _STRETCH = 1024
@@ -40,7 +41,7 @@ def with_offsets(
     """Group columns, key, ``offset`` and the token array ``ids``."""
     n_tokens = F.size(ids) if n_tokens is None else n_tokens
     offsets = stream_offsets(df, n_tokens, key, group).drop("n_tokens")
-    return df.join(offsets, [*group, key]).select(*group, key, "offset", ids.alias("ids"))
+    return join_groups(df, offsets, group, [key]).select(*group, key, "offset", ids.alias("ids"))
 
 
 def token_stream(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:

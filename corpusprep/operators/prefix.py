@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusprep.session import join_groups
+
 _SHIFT = 21
 _LEVELS = 3  # 3 * 21 bits cover a 64-bit key but for the sign, which the top level holds
 
@@ -26,8 +28,10 @@ def running_totals(
     Returns the group columns, the key, the values and ``before_<value>``.
     """
     group = list(group)
-    rows = df.select(*group, key, *values).withColumn("_b1", F.shiftright(key, _SHIFT))
-    # One exchange by bucket serves both the bucket totals and the detail rows.
+    # The explicit null filter keeps joins from inferring different ones for their
+    # inputs: one exchange by bucket then serves the totals and the detail rows.
+    rows = df.select(*group, key, *values).filter(F.col(key).isNotNull())
+    rows = rows.withColumn("_b1", F.shiftright(key, _SHIFT))
     rows = rows.repartition(*group, "_b1")
     bases = _bucket_bases(rows, values, group, level=1)
     within = W.partitionBy(*group, "_b1").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
@@ -35,15 +39,11 @@ def running_totals(
         F.coalesce(F.sum(v).over(within), F.lit(0)).cast("bigint").alias(f"_local_{v}")
         for v in values
     ]
-    return (
-        rows.select("*", *local)
-        .join(bases, [*group, "_b1"])
-        .select(
-            *group,
-            key,
-            *values,
-            *[(F.col(f"_base_{v}") + F.col(f"_local_{v}")).alias(f"before_{v}") for v in values],
-        )
+    return join_groups(rows.select("*", *local), bases, group, ["_b1"]).select(
+        *group,
+        key,
+        *values,
+        *[(F.col(f"_base_{v}") + F.col(f"_local_{v}")).alias(f"before_{v}") for v in values],
     )
 
 
@@ -66,7 +66,7 @@ def _bucket_bases(
     if top:
         return based.withColumnsRenamed({f"_in_{v}": f"_base_{v}" for v in values})
     above = _bucket_bases(totals, values, group, level + 1)
-    return based.join(above, scope).select(
+    return join_groups(based, above, group, [f"_b{level + 1}"]).select(
         *group,
         bucket,
         *[(F.col(f"_in_{v}") + F.col(f"_base_{v}")).alias(f"_base_{v}") for v in values],

@@ -62,3 +62,16 @@ def compute_once(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataF
     """
     row = F.struct(*[value.alias(name) for name, value in columns.items()])
     return df.select(*keep, F.inline(F.array(row)))
+
+
+def join_groups(
+    left: DataFrame, right: DataFrame, group: Sequence[str], keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join on group columns, where null is a group like any other, and on plain keys."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in [*group, *keys]})
+    condition = F.lit(True)
+    for c in group:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    for c in keys:
+        condition = condition & (F.col(c) == F.col(f"_right_{c}"))
+    return left.join(renamed, condition, how).drop(*[f"_right_{c}" for c in [*group, *keys]])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from corpusprep.operators.packing import pack_blocks, stretches, with_offsets
-from corpusprep.session import cut_lineage
+from corpusprep.session import cut_lineage, join_groups
 
 _TAIL_KEY = -1
 
@@ -53,7 +53,7 @@ class BlockPacker:
                 F.col("ids").alias("tail"),
             )
         seen = state.select(*group, "last_key")
-        aged = coded.join(seen, group, "left").withColumn(
+        aged = join_groups(coded, seen, group, [], "left").withColumn(
             "late", F.col(key) <= F.coalesce("last_key", F.lit(_TAIL_KEY))
         )
         aged.filter("late").drop("last_key", "late").write.mode("overwrite").parquet(
@@ -67,7 +67,7 @@ class BlockPacker:
             fresh.unionByName(tails), F.col("ids"), key=key, group=group
         )
         base = state.select(*group, "next_block")
-        blocks = pack_blocks(stream, block, group).join(base, group, "left")
+        blocks = join_groups(pack_blocks(stream, block, group), base, group, [], "left")
         number = F.col("block_id") + F.coalesce("next_block", F.lit(0))
         blocks.select(*group, number.alias("block_id"), "x", "y").write.mode("overwrite").parquet(
             self.path("blocks", batch_id)
@@ -86,15 +86,12 @@ class BlockPacker:
             {"stretch": "blocks", "tokens": "tail"}
         )
         old = state.select(*group, "next_block", "last_key")
-        return (
-            full.join(rest, [*group, "blocks"])
-            .join(old, group, "left")
-            .select(
-                *group,
-                (F.coalesce("next_block", F.lit(0)) + F.col("blocks")).alias("next_block"),
-                F.greatest("last_key", "max_key").alias("last_key"),
-                "tail",
-            )
+        kept = join_groups(full, rest, group, ["blocks"])
+        return join_groups(kept, old, group, [], "left").select(
+            *group,
+            (F.coalesce("next_block", F.lit(0)) + F.col("blocks")).alias("next_block"),
+            F.greatest("last_key", "max_key").alias("last_key"),
+            "tail",
         )
 
 

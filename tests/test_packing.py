@@ -69,6 +69,7 @@ def test_sliced_running_values_with_a_hot_group(spark, slices):
     random.seed(slices)
     rows = [("hot", i, random.randrange(20)) for i in range(200)]
     rows += [(f"g{i % 60}", i, random.randrange(20)) for i in range(100)]
+    rows += [(None, i, i) for i in range(9)]  # null is a group too
     random.shuffle(rows)
     df = spark.createDataFrame(rows, "g string, i int, v int")
     cut = slice_rows(df, ["g"], ["i"], slices)
