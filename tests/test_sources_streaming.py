@@ -138,7 +138,7 @@ def test_log_streams(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
     log = logs.read_log_stream(spark, str(tmp_path), files_per_trigger=3)
     drain(stream_latest(log), "update", "latest")
-    last = spark.table("latest").filter("run_id = 1").orderBy(F.desc("step")).first()
+    last = spark.table("latest").filter("run_id = 1").orderBy(F.desc("step"), F.desc_nulls_last("saved_path")).first()
     assert (last.step, last.loss, last.eta, last.saved_path) == ("6", "2.4", "2.0m", "out/m.gguf")
     drain(stream_idle(log), "append", "idle")
     stretches = {(r.run_id, str(r.started), r.lines) for r in spark.table("idle").collect()}
