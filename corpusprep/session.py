@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -13,32 +12,32 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session.
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder for tables between jobs, on storage that all executors share.
 
-    Clusters name it in ``spark.checkpoint.dir``. Only a session without that
-    setting (a unit test) gets a folder of its own.
+    It lies in the folder of ``spark.checkpoint.dir``; where that is not set, in
+    the warehouse. It is deleted when the session's JVM ends.
     """
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="corpusprep-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    folder = f"{base.rstrip('/')}/corpusprep-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return files.makeQualified(path).toString()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` as a table into the shared checkpoint folder and read it back.
+    """Write `df` as a table into the scratch folder and read it back.
 
     Unlike ``checkpoint()`` this computes the rows once, and readers of the
     table prune columns and know its size.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
