@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import exact_dedup, mixing, sharding
+from corpusprep.llm import decontaminate, exact_dedup, mixing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,3 +78,33 @@ def op6_uniform_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shuffle_to_shards(rows, 40, extra=["text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def _leak_sql() -> str:
+    words = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+
+    def seeds(side: str, row: str) -> str:
+        parts = []
+        for k, mask in enumerate(decontaminate.MASKS):
+            key = " || ' ' || ".join(f"w[p + {i}]" for i, used in enumerate(mask) if used == "1")
+            parts.append(f"SELECT {row}, w, p, {k} AS m, {key} AS seed FROM (SELECT *, unnest(range(1, len(w) - {len(mask)} + 2)) AS p FROM {side})")
+        return " UNION ALL ".join(parts)
+
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+b AS (SELECT item_id, w FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {decontaminate.MIN_WORDS}),
+ds AS ({seeds('d', 'doc_id')}), bs AS ({seeds('b', 'item_id')}),
+h AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS diagonal, least(len(bs.w), 13) AS n, ds.w AS dw, bs.w AS bw
+      FROM ds JOIN bs USING (m, seed)),
+v AS (SELECT doc_id, item_id, n, list_transform(range(1, (len(bw) - n + 2)::BIGINT), lambda s: list_sum(list_transform(range(s, s + n),
+        lambda j: CASE WHEN j + diagonal >= 1 AND dw[(j + diagonal)::INT] = bw[j] THEN 1 ELSE 0 END))) AS same FROM h),
+f AS (SELECT doc_id, min(item_id) AS item_id, max(list_max(same) / n) AS best_share
+      FROM v WHERE list_max(same) >= ceil(n * 0.8 - 1e-9) GROUP BY doc_id)
+SELECT doc_id, item_id IS NOT NULL AS contaminated, coalesce(best_share, 0.0)::DOUBLE AS best_share, item_id FROM documents LEFT JOIN f USING (doc_id)
+"""
+
+
+@query(_leak_sql())
+def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.mark_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
