@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import decontaminate, exact_dedup, mixing, sharding
+from corpusprep.llm import decontaminate, exact_dedup, mixing, sharding, toxicity, warc
+from corpusprep.llm.common import small_side
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,3 +109,39 @@ SELECT doc_id, item_id IS NOT NULL AS contaminated, coalesce(best_share, 0.0)::D
 def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.mark_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
+def held_out(part: int, parts: int) -> Column:
+    """Whether a document belongs to the fold that no model learns from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == part
+
+
+def toxicity_model(spark: SparkSession, documents: DataFrame, folder: str) -> toxicity.ToxicityModel:
+    """Learned from the labels of documents outside the held-out fold."""
+    labels = table(spark, folder, "labels").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.filter(~held_out(0, 5)).withColumnRenamed("doc_id", "_labelled")
+    rows = documents.join(small_side(known), documents["doc_id"] == F.col("_labelled"))
+    return toxicity.learn(rows.select(documents["text"], "toxic"))
+
+
+@query()
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = toxicity.score(documents, toxicity_model(spark, documents, folder)).withColumnRenamed("id", "doc_id")
+    return found.select(
+        "doc_id", F.coalesce(held_out(0, 5), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits",
+    )
+
+
+@query("""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS full_id FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = full_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> full_id THEN full_id END AS refers_to, true AS valid FROM m
+""")
+def op8_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    place = warc.archive_folder(spark)
+    manifest = warc.write_archives(warc.plan_records(table(spark, folder, "pages")), place)
+    return warc.read_archives(spark, manifest, place).drop("url")
