@@ -12,10 +12,10 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 class WordHashes(dict):
     """64-bit hash of a word, kept for words that come again; the store is emptied when full."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) >= _CACHE:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
@@ -28,11 +28,11 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def word_hashes(words: list[str], cache: WordHashes) -> np.ndarray:
+def word_hashes(words: list, cache: WordHashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-def shingle_hashes(words: list[str], width: int, cache: WordHashes) -> np.ndarray:
+def shingle_hashes(words: list, width: int, cache: WordHashes) -> np.ndarray:
     """Hashes of the runs of `width` words, in order; a shorter text is one run, no word none."""
     if not words:
         return np.empty(0, np.uint64)
@@ -42,3 +42,11 @@ def shingle_hashes(words: list[str], width: int, cache: WordHashes) -> np.ndarra
     for k in range(min(width, len(one))):
         total = mix(total * _A + one[k : k + n] + np.uint64(k + 1))
     return total
+
+
+#: Lower-cases A-Z in UTF-8; `bytes.split` then parts words at the ASCII white space only.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def ascii_words(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(LOWER).split()

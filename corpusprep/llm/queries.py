@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import decontaminate, exact_dedup, mixing, sharding, toxicity, warc
+from corpusprep.llm import decontaminate, exact_dedup, minhash, mixing, sharding, toxicity, warc
 from corpusprep.llm.common import small_side
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,20 @@ def op8_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
     place = warc.archive_folder(spark)
     manifest = warc.write_archives(warc.plan_records(table(spark, folder, "pages")), place)
     return warc.read_archives(spark, manifest, place).drop("url")
+
+
+@query("""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (WITH RECURSIVE t AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT t.x, u.b FROM t JOIN u ON t.y = u.a) SELECT x, min(y) AS component_id FROM t GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+""")
+def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
+    return found.withColumnRenamed("id", "doc_id")
