@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import decontaminate, exact_dedup, minhash, mixing, sharding, toxicity, warc
+from corpusprep.llm import decontaminate, exact_dedup, langid, minhash, mixing, sharding, toxicity, warc
 from corpusprep.llm.common import small_side
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,3 +162,12 @@ FROM documents d JOIN r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    known = documents.filter(F.coalesce(~held_out(1, 3), F.lit(True)) & F.col("lang").isNotNull())
+    model = langid.calibrate(langid.collect_model(langid.learn(known)), known)
+    found = langid.identify(documents, model, reject=False).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", F.coalesce(held_out(1, 3), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits", "rejected")
