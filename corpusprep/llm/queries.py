@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusprep.llm import decontaminate, exact_dedup, langid, minhash, mixing, sharding, toxicity, warc
+from corpusprep.llm import (
+    decontaminate, exact_dedup, langid, lines, minhash, mixing, quotes, sharding, toxicity, warc,
+)
 from corpusprep.llm.common import small_side
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,3 +173,45 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.calibrate(langid.collect_model(langid.learn(known)), known)
     found = langid.identify(documents, model, reject=False).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", F.coalesce(held_out(1, 3), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits", "rejected")
+
+
+@query()
+def op5_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.fuzzy_lines(table(spark, folder, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "keep_id": "keep_doc_id"})
+
+
+def mail(conversations: DataFrame) -> DataFrame:
+    """The turns as messages, each quoting the two before it at two levels; every other one replies below the quote."""
+    turns = Window.partitionBy("conv_id").orderBy("turn")
+    before, older = F.lag("text", 1).over(turns), F.lag("text", 2).over(turns)
+
+    def quote(text: Column) -> Column:
+        return F.regexp_replace(text, "(?m)^", "> ")
+
+    block = F.concat_ws("\n", before, quote(older))
+    quoted = F.concat(F.lit("They wrote:\n"), quote(block))
+    text = (
+        F.when(before.isNull(), F.col("text"))
+        .when(F.col("turn") % 2 == 0, F.concat_ws("\n\n", "text", quoted))
+        .otherwise(F.concat_ws("\n\n", quoted, "text"))
+    )
+    return conversations.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("message_id"), text.alias("text"))
+
+
+@query("""
+WITH m AS (SELECT conv_id * 100000 + turn AS id, text, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS norm,
+    row_number() OVER w AS k, lag(conv_id * 100000 + turn) OVER w AS p1, lag(conv_id * 100000 + turn, 2) OVER w AS p2
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+o AS (SELECT norm, min(id) AS owner FROM m WHERE len(string_split(norm, ' ')) >= 4 GROUP BY norm),
+e AS (SELECT m.id, m.text, (m.p1 IS NOT NULL)::BIGINT + (m.p2 IS NOT NULL)::BIGINT AS n_quotes,
+    CASE WHEN o1.owner < m.id THEN o1.owner END AS q1, CASE WHEN o2.owner < m.id THEN o2.owner END AS q2
+  FROM m LEFT JOIN m m1 ON m1.id = m.p1 LEFT JOIN o o1 ON o1.norm = m1.norm LEFT JOIN m m2 ON m2.id = m.p2 LEFT JOIN o o2 ON o2.norm = m2.norm),
+l AS (SELECT id, text, n_quotes, coalesce(q1, q2) AS parent_id, (q1 IS NOT NULL)::BIGINT + (q2 IS NOT NULL)::BIGINT AS n_linked FROM e),
+t AS (WITH RECURSIVE r AS (SELECT id, id AS up, 0 AS depth FROM l UNION ALL SELECT r.id, l.parent_id, depth + 1 FROM r JOIN l ON l.id = r.up WHERE l.parent_id IS NOT NULL)
+  SELECT id, arg_max(up, depth) AS thread_id, max(depth) AS depth FROM r GROUP BY id)
+SELECT id AS message_id, parent_id, thread_id, depth, n_quotes, n_linked, md5(trim(text)) AS own_md5 FROM l JOIN t USING (id)
+""")
+def op9_quote_threads(spark: SparkSession, folder: str) -> DataFrame:
+    found = quotes.link_quotes(mail(table(spark, folder, "conversations")), id_col="message_id")
+    return found.withColumnRenamed("id", "message_id").withColumn("own_md5", F.md5("own_text")).drop("own_text")
