@@ -96,7 +96,7 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
         .withColumn("have", F.coalesce("have", F.lit(0)))
         .filter("have < blocks")
         .select("source_no", F.explode(F.sequence("have", F.expr("blocks - 1"))).alias("rank"))
-        .select((F.lit(slots) + F.col("rank")).alias("slot"), "source_no", "rank")
+        .select((F.lit(slots) + F.col("rank") * sources.count() + F.col("source_no")).alias("slot"), "source_no", "rank")
     )
     return used.unionByName(tail.select("slot", "source_no", "rank"))
 

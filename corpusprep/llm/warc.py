@@ -116,7 +116,7 @@ class _Archive:
     def _start(self) -> None:
         dictionary = build_dictionary(self.waiting, self.dictionary_bytes)
         packed = zstandard.ZstdCompressor(level=19).compress(dictionary.as_bytes())
-        self.out = self.store.open_output_stream(self.path)
+        self.out = self.store.open_output_stream(self.path, compression=None)
         self.out.write(struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed)
         self.compressor = zstandard.ZstdCompressor(level=self.level, dict_data=dictionary)
         for record in self.waiting:
@@ -212,7 +212,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, payload
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 rows, size = [], 0
-                with store.open_input_stream(path, buffer_size=1 << 20) as stream:
+                with store.open_input_stream(path, compression=None, buffer_size=1 << 20) as stream:
                     for fields, block in read_records(stream):
                         head, _, body = block.partition(b"\r\n\r\n")
                         length = int(head.lower().partition(b"content-length:")[2].split(b"\r\n")[0])
