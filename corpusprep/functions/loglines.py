@@ -17,18 +17,8 @@ LINE_PREFIXES = (
     ("Progress:", "progress"),
 )
 
-# Progress fields, each with its pattern and group.
-PROGRESS_FIELDS = (
-    ("pct", r"Progress:\s+([\d.]+)%", 1),
-    ("epoch", r"epoch\s+(\d+)/(\d+)", 1),
-    ("epoch_total", r"epoch\s+(\d+)/(\d+)", 2),
-    ("step", r"step\s+(\d+)/(\d+)", 1),
-    ("step_total", r"step\s+(\d+)/(\d+)", 2),
-    ("loss", r"loss\s+([\d.]+)", 1),
-    ("s_it", r"s_it\s+([\d.]+s/it)", 1),
-    ("elapsed", r"elapsed\s+([\d.]+m)", 1),
-    ("eta", r"ETA\s+([\d.]+m)", 1),
-)
+# Names of the progress fields.
+PROGRESS_FIELDS = ("pct", "epoch", "epoch_total", "step", "step_total", "loss", "s_it", "elapsed", "eta")
 
 # Members of the JSON payloads.
 ENV_SCHEMA = (
@@ -57,12 +47,27 @@ def classify(line: Column) -> Column:
 
 
 def parse_progress(line: Column) -> Column:
-    """Struct of the progress fields as text; a field that is absent is null."""
-    fields = [
-        F.nullif(F.regexp_extract(line, pattern, group), F.lit("")).alias(name)
-        for name, pattern, group in PROGRESS_FIELDS
-    ]
-    return F.when(line.startswith("Progress:"), F.struct(*fields))
+    """Struct of the progress fields as text; a field that is absent is null.
+
+    A progress line is a row of cells between bars. The first holds the percentage, the
+    others a name and a value; ``epoch`` and ``step`` have ``done/total`` values.
+    """
+    cells = F.split(F.regexp_replace(line, "^Progress:", "percent "), r"\|")
+    named = F.transform(cells, lambda c: F.split(F.trim(c), r"\s+"))
+    pairs = F.filter(named, lambda c: F.size(c) == 2)
+    value = F.map_from_entries(F.transform(pairs, lambda c: F.struct(F.get(c, F.lit(0)), F.get(c, F.lit(1)))))
+
+    def field(name: str, cell: str, part: int | None = None) -> Column:
+        text = F.element_at(value, cell)
+        return (text if part is None else F.get(F.split(text, "/"), F.lit(part))).alias(name)
+
+    fields = F.struct(
+        F.rtrim(field("pct", "percent"), F.lit("%")).alias("pct"),
+        field("epoch", "epoch", 0), field("epoch_total", "epoch", 1),
+        field("step", "step", 0), field("step_total", "step", 1),
+        field("loss", "loss"), field("s_it", "s_it"), field("elapsed", "elapsed"), field("eta", "ETA"),
+    )
+    return F.when(line.startswith("Progress:"), fields)
 
 
 def parse_env(line: Column) -> Column:

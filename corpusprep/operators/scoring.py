@@ -1,7 +1,7 @@
 """Choosing from and normalising long score tables (group_id, cand_id, score).
 
-A group may be of any size: picks are running aggregates, and sums over a group
-are first taken over salted parts of it.
+A group may be of any size: picks and sums are aggregates that merge partial
+results, ranks are first taken over salted parts. Null is a group like any other.
 """
 
 from __future__ import annotations
@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusprep.operators.ordered import running, slice_rows
+from corpusprep.session import join_groups
+
+# Parts that a group's rows are dealt to before the rows of all parts are ranked.
 _PARTS = 64
 
 
@@ -22,31 +26,33 @@ def argmax(scores: DataFrame) -> DataFrame:
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each group with ``rank`` from 1, ties by id; all rows for k <= 0."""
-    order = W.partitionBy("group_id").orderBy(F.desc("score"), "cand_id")
-    ranked = scores.withColumn("rank", F.row_number().over(order))
-    return ranked if k <= 0 else ranked.filter(F.col("rank") <= k)
+    """The k best rows of each group with ``rank`` from 1, ties by id; all rows for k <= 0.
 
+    Each part of a group gives its k best, and the best of those are the result. To rank all
+    rows, slices along (group, order) are counted, so no group has to fit one task.
+    """
+    if k <= 0:
+        ordered = scores.withColumn("_down", -F.col("score"))
+        sliced = slice_rows(ordered, ["group_id"], ["_down", "cand_id"])
+        ranked = running(sliced, ["group_id"], ["_down", "cand_id"], {"rank": F.lit(1)}, F.sum)
+        return ranked.withColumn("rank", F.col("rank").cast("int")).drop("_down", "slice")
+    best = [F.desc("score"), F.asc("cand_id")]
+    part = W.partitionBy("group_id", "_part").orderBy(*best)
+    parted = scores.withColumn("_part", F.pmod(F.xxhash64("cand_id"), F.lit(_PARTS)))
+    some = parted.withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= k).drop("_part", "_rank")
+    ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("group_id").orderBy(*best)))
+    return ranked.filter(F.col("rank") <= k)
 
-def with_log_sum(scores: DataFrame, value: Column, name: str = "log_sum") -> DataFrame:
-    """Add log(sum(exp(value))) of the row's group.
 
-    Each group is split into parts by candidate. A part is summed against its
-    own maximum, then the at most 64 part sums are combined.
-    """
-    parts = scores.withColumn("_value", value).withColumn(
-        "_part", F.pmod(F.xxhash64("cand_id"), F.lit(_PARTS))
-    )
-    inside = W.partitionBy("group_id", "_part")
-    peaked = parts.withColumn("_peak", F.max("_value").over(inside))
-    sums = peaked.groupBy("group_id", "_part").agg(
-        F.max("_peak").alias("_peak"), F.sum(F.exp(F.col("_value") - F.col("_peak"))).alias("_sum")
+def with_log_sum(scores: DataFrame, value: Column, name: str = "log_sum") -> DataFrame:
+    """Add log(sum(exp(value))) of the row's group, summed against the group's maximum."""
+    valued = scores.withColumn("_value", value)
+    tops = valued.groupBy("group_id").agg(F.max("_value").alias("_top"))
+    near = join_groups(valued.select("group_id", "_value"), tops, ["group_id"], [])
+    logs = near.groupBy("group_id").agg(
+        (F.first("_top") + F.log(F.sum(F.exp(F.col("_value") - F.col("_top"))))).alias(name)
     )
-    whole = W.partitionBy("group_id")
-    top = sums.withColumn("_top", F.max("_peak").over(whole))
-    scaled = F.sum(F.col("_sum") * F.exp(F.col("_peak") - F.col("_top"))).over(whole)
-    logs = top.select("group_id", "_part", (F.col("_top") + F.log(scaled)).alias(name))
-    return parts.join(logs, ["group_id", "_part"]).drop("_part", "_value")
+    return join_groups(valued, logs, ["group_id"], []).drop("_value")
 
 
 def softmax(scores: DataFrame, temperature: float = 1.0) -> DataFrame:

@@ -107,7 +107,7 @@ def latest_aggregates() -> list[Column]:
     """Latest non-null value of each progress field and of the run's environment."""
     at = F.struct("ts", "seq")
     progress, env = parse_progress(F.col("line")), parse_env(F.col("line"))
-    fields = {name: progress[name] for name, _, _ in PROGRESS_FIELDS}
+    fields = {name: progress[name] for name in PROGRESS_FIELDS}
     fields |= {name: env[name] for name in ("device", "auto_jsonl", "sft_steps_est")}
     line = F.col("line")
     saved = F.when(line.startswith(SAVED_PREFIX), F.substr(line, F.lit(len(SAVED_PREFIX) + 1)))

@@ -28,17 +28,18 @@ def log_kinds(t: Tables) -> DataFrame:
     return L.log_kinds(run_log(t)).select("run_id", "seq", "kind")
 
 
-_PROGRESS = r"""progress AS (SELECT run_id, ts, seq,
-    nullif(regexp_extract(line, 'Progress:\s+([\d.]+)%', 1), '') AS pct,
-    nullif(regexp_extract(line, 'epoch\s+(\d+)/(\d+)', 1), '') AS epoch,
-    nullif(regexp_extract(line, 'epoch\s+(\d+)/(\d+)', 2), '') AS epoch_total,
-    nullif(regexp_extract(line, 'step\s+(\d+)/(\d+)', 1), '') AS step,
-    nullif(regexp_extract(line, 'step\s+(\d+)/(\d+)', 2), '') AS step_total,
-    nullif(regexp_extract(line, 'loss\s+([\d.]+)', 1), '') AS loss,
-    nullif(regexp_extract(line, 's_it\s+([\d.]+s/it)', 1), '') AS s_it,
-    nullif(regexp_extract(line, 'elapsed\s+([\d.]+m)', 1), '') AS elapsed,
-    nullif(regexp_extract(line, 'ETA\s+([\d.]+m)', 1), '') AS eta
-  FROM run_log WHERE line LIKE 'Progress:%')"""
+def _cell(name: str) -> str:
+    """The value of a named cell of a progress line."""
+    return f"nullif(split_part(list_filter(cells, lambda c: c LIKE '{name} %')[1], ' ', 2), '')"
+
+
+_PROGRESS = f"""cells AS (SELECT run_id, ts, seq, list_transform(string_split(substr(line, 10), '|'), lambda c: trim(c)) AS cells
+    FROM run_log WHERE line LIKE 'Progress:%'),
+  progress AS (SELECT run_id, ts, seq, rtrim(cells[1], '%') AS pct,
+    split_part({_cell('epoch')}, '/', 1) AS epoch, split_part({_cell('epoch')}, '/', 2) AS epoch_total,
+    split_part({_cell('step')}, '/', 1) AS step, split_part({_cell('step')}, '/', 2) AS step_total,
+    {_cell('loss')} AS loss, {_cell('s_it')} AS s_it, {_cell('elapsed')} AS elapsed, {_cell('ETA')} AS eta
+  FROM cells)"""
 
 
 @query(f"{_LOG}, {_PROGRESS} SELECT * EXCLUDE (ts) FROM progress")

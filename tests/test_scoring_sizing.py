@@ -27,7 +27,22 @@ def test_picks(table):
     assert best == {g: v[0][1] for g, v in groups.items()}
     top = {(r.group_id, r["rank"]): r.cand_id for r in S.top_k(df, 3).collect()}
     assert top == {(g, i + 1): c for g, v in groups.items() for i, (_, c) in enumerate(v[:3])}
-    assert S.top_k(df, 0).count() == len(rows)
+    every = {(r.group_id, r["rank"]): r.cand_id for r in S.top_k(df, 0).collect()}
+    assert every == {(g, i + 1): c for g, v in groups.items() for i, (_, c) in enumerate(v)}
+    assert S.top_k(df, 2000).count() == len(rows)
+
+
+def test_null_group_and_hot_group(spark):
+    rows = [(None, c, 3, float(c % 7)) for c in range(2500)] + [(1, c, 0, 1.0) for c in range(4)]
+    df = spark.createDataFrame(rows, "group_id int, cand_id int, target int, score double")
+    soft = S.softmax(df)
+    assert soft.count() == len(rows)
+    sums = {r.group_id: r.s for r in soft.groupBy("group_id").agg(F.sum("probability").alias("s")).collect()}
+    assert sums == {None: pytest.approx(1.0), 1: pytest.approx(1.0)}
+    assert S.cross_entropy(df).first().groups == 2
+    best = [c for _, c, _, _ in sorted(rows[:2500], key=lambda r: (-r[3], r[1]))]
+    top = S.top_k(df, 2000).filter("group_id is null").orderBy("rank").collect()
+    assert [r.cand_id for r in top] == best[:2000] and [r["rank"] for r in top] == list(range(1, 2001))
 
 
 def test_softmax_and_loss(table):
