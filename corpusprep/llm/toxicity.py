@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusprep.llm.hashing import WordHashes, shingle_hashes
+from corpusprep.session import cut_lineage
 
 # Letters of other scripts that look like Latin ones, and what stands for letters.
 LOOKALIKES = {
@@ -83,33 +85,46 @@ def _copy_key(words: list[str], cache: WordHashes) -> int:
     return int(found.min() >> np.uint64(1)) if len(found) else 0
 
 
+_PART = 10_000
+
+
 def _labelled_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Toxic texts as one row of distinct words each; the words of clean texts counted per batch."""
     cache = WordHashes()
-    schema = pa.schema([("copy", pa.int64()), ("toxic", pa.int32()), ("words", pa.list_(pa.string()))])
+    schema = pa.schema([("copy", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
     for batch in batches:
-        rows = []
+        rows, clean = [], Counter()
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             words = fold(text).split()
-            rows.append({"copy": _copy_key(words, cache), "toxic": toxic, "words": list(dict.fromkeys(words))})
+            if toxic:
+                rows.append({"copy": _copy_key(words, cache), "words": list(dict.fromkeys(words)), "counts": None})
+            else:
+                clean.update(set(words))
+        found, counts = list(clean), list(clean.values())
+        for k in range(0, len(found), _PART):
+            rows.append({"copy": None, "words": found[k : k + _PART], "counts": counts[k : k + _PART]})
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def learn_lexicon(
-    labelled: DataFrame, *, shortest: int = 4, longest: int = 8, evidence: float = 25.0, purity: float = 0.8, max_terms: int = 20_000
+    labelled: DataFrame, *, shortest: int = 4, longest: int = 8, evidence: float = 15.0, purity: float = 0.8, max_terms: int = 20_000
 ) -> tuple[dict[str, float], list[str]]:
     """Weights of terms, and exceptions, from all rows of ``text, toxic``.
 
     Terms are whole words and starts of words (`shortest` to `longest` letters) whose share of
     toxic texts is high beyond chance: log-likelihood ratio of `evidence` or more, `purity` of
-    their uses toxic. Texts that seem copies of each other count once. A term under a shorter
+    their uses toxic. Toxic texts that seem copies of each other
+    count once. A term under a shorter
     one that is itself in the lexicon is left out, unless its uses are mostly clean: then it
     is an exception. The `max_terms` terms with the best evidence bound the lexicon.
     """
-    one = labelled.mapInArrow(_labelled_words, "copy bigint, toxic int, words array<string>").groupBy("copy", "toxic").agg(
-        F.max("words").alias("words")
-    )
-    words = one.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
-        F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")
+    seen = cut_lineage(labelled.mapInArrow(_labelled_words, "copy bigint, words array<string>, counts array<bigint>"))
+    toxic = seen.filter("copy is not null").groupBy("copy").agg(F.max("words").alias("words"))
+    clean = seen.filter("copy is null").select(F.inline(F.arrays_zip("words", "counts"))).toDF("word", "c")
+    words = cut_lineage(
+        toxic.select(F.explode("words").alias("word"), F.lit(1).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("c"))
+        .unionByName(clean.select("word", F.lit(0).cast("bigint").alias("t"), "c"))
+        .groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     )
     length = F.length("word")
     starts = F.transform(
