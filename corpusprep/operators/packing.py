@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusprep.functions.tokens import BOS, EOS
 from corpusprep.operators.ordered import running
 from corpusprep.operators.prefix import running_totals, shuffled_rank
-from corpusprep.session import join_groups
+from corpusprep.session import cut_lineage, join_groups
 
 # Starts per stretch of the sliding windows; bounds the array one row holds.
 _STRETCH = 1024
@@ -24,13 +24,19 @@ _STRETCH = 1024
 def stream_offsets(
     df: DataFrame, n_tokens: Column, key: str = "doc_id", group: Sequence[str] = ()
 ) -> DataFrame:
-    """First position of each example in the stream of its group."""
+    """First position of each key's examples in the stream of its group; rows without key have none."""
     sized = df.select(*group, key, n_tokens.cast("bigint").alias("n_tokens"))
-    return running_totals(sized, key, ["n_tokens"], group).withColumnRenamed(
+    each = sized.filter(F.col(key).isNotNull()).groupBy(*group, key).agg(F.sum("n_tokens").alias("n_tokens"))
+    return running_totals(each, key, ["n_tokens"], group).withColumnRenamed(
         "before_n_tokens", "offset"
     )
 
 
+def without_key(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows that `with_offsets` leaves out: they have no place in the order."""
+    return df.filter(F.col(key).isNull())
+
+
 def with_offsets(
     df: DataFrame,
     ids: Column,
@@ -38,10 +44,21 @@ def with_offsets(
     key: str = "doc_id",
     group: Sequence[str] = (),
 ) -> DataFrame:
-    """Group columns, key, ``offset`` and the token array ``ids``."""
-    n_tokens = F.size(ids) if n_tokens is None else n_tokens
-    offsets = stream_offsets(df, n_tokens, key, group).drop("n_tokens")
-    return join_groups(df, offsets, group, [key]).select(*group, key, "offset", ids.alias("ids"))
+    """Group columns, key, ``offset`` and the token array ``ids``.
+
+    Rows that share a key follow each other in the order of a hash of their columns. Without
+    `n_tokens` the ids are computed once, into a written table.
+    """
+    group = list(group)
+    keyed = df.filter(F.col(key).isNotNull())
+    if n_tokens is None:
+        keyed = cut_lineage(keyed.select(*group, key, ids.alias("ids")))
+        ids, n_tokens = F.col("ids"), F.size("ids")
+    offsets = stream_offsets(keyed, n_tokens, key, group).drop("n_tokens")
+    same = W.partitionBy(*group, key).orderBy(F.xxhash64(*keyed.columns)).rowsBetween(W.unboundedPreceding, -1)
+    placed = join_groups(keyed, offsets, group, [key])
+    before = F.coalesce(F.sum(n_tokens.cast("bigint")).over(same), F.lit(0))
+    return placed.withColumn("offset", F.col("offset") + before).select(*group, key, "offset", ids.alias("ids"))
 
 
 def token_stream(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -60,8 +77,8 @@ def stretches(df: DataFrame, stride: int, halo: int, group: Sequence[str] = ())
     of them). Examples are sliced before they are shuffled, by stretch number.
     """
     start, end = F.col("offset"), F.col("offset") + F.size("ids").cast("bigint")
-    first = F.greatest(F.floor((start - halo) / stride), F.lit(0))
-    last = F.floor((end - 1) / stride)
+    first = F.expr(f"greatest((offset - {halo}) div {stride}, 0)")
+    last = F.expr(f"(offset + size(ids) - 1) div {stride}")
     reached = F.when(F.size("ids") > 0, F.sequence(first, last))
     opens = F.col("stretch") * stride
     place = F.greatest(opens, start)
@@ -163,9 +180,9 @@ def make_batches(
     """
     if shuffle:
         placed = shuffled_rank(df, key, seed)
-        batches = placed.withColumn("batch_id", F.floor(F.col("rank") / size)).drop("rank")
+        batches = placed.withColumn("batch_id", F.expr(f"rank div {size}")).drop("rank")
     else:
-        batches = df.withColumn("batch_id", F.floor(F.col(key) / size))
+        batches = df.withColumn("batch_id", F.expr(f"`{key}` div {size}"))
     if not drop_last:
         return batches
     filled = F.count("*").over(W.partitionBy("batch_id"))  # at most `size` rows a group

@@ -81,24 +81,15 @@ def null_policy(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    rf"""{_DIRTY}, cut AS (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS l FROM dirty),
-    lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no FROM cut)
-    SELECT * FROM (SELECT doc_id, cast(line_no AS integer) AS line_no, {duck.clean("line")} AS text FROM lines)
-    WHERE text <> ''"""
-)
-def clean_lines(t: Tables) -> DataFrame:
-    return clean_lines_of(dirty(t).select("doc_id", "text"), "text")
-
-
-@query(
-    rf"""{_DIRTY}, cut AS (
+PARAGRAPHS = rf"""{_DIRTY}, cut AS (
       SELECT doc_id, string_split(replace({duck.clean("text")}, chr(13) || chr(10), chr(10)), chr(10) || chr(10)) AS l
       FROM dirty),
-    parts AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS paragraph_no FROM cut)
-    SELECT * FROM (SELECT doc_id, cast(paragraph_no AS integer) AS paragraph_no, {duck.strip("p")} AS text FROM parts)
-    WHERE text <> ''"""
-)
+    parts AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS paragraph_no FROM cut),
+    paragraphs AS (SELECT * FROM (SELECT doc_id, cast(paragraph_no AS integer) AS paragraph_no, {duck.strip("p")} AS text FROM parts)
+    WHERE text <> '')"""
+
+
+@query(PARAGRAPHS + " SELECT * FROM paragraphs")
 def paragraphs(t: Tables) -> DataFrame:
     cleaned = dirty(t).select("doc_id", T.clean_text(F.col("text")).alias("text"))
     return split_paragraphs(cleaned, "text")

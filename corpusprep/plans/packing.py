@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusprep.functions import text as T
 from corpusprep.functions import tokens as K
 from corpusprep.functions import vectors
 from corpusprep.operators import packing as P
 from corpusprep.operators.ordered import slice_rows
 from corpusprep.plans import duck
+from corpusprep.plans.cleaning import PARAGRAPHS
+from corpusprep.plans.fixtures import dirty
+from corpusprep.plans.records import _SFT, _examples
 from corpusprep.plans.registry import Tables, query
 from corpusprep.plans.tokens import joined
+from corpusprep.sources.text import split_paragraphs
 
 BLOCK, WINDOW, BATCH, SEED = 256, 32, 16, 7
 
@@ -234,3 +239,61 @@ def empty_corpus_default(t: Tables) -> DataFrame:
     return named("none", coded.filter(F.col("lang") == "no such language")).unionByName(
         named("all", coded)
     )
+
+
+# --- whole pipelines ----------------------------------------------------------
+
+
+def _wide_digest(values: Column) -> Column:
+    """Order-sensitive digest of a whole int array."""
+    return F.md5(joined(values))
+
+
+@query(
+    f"""{_SFT}, ids AS (SELECT line_no, {duck.byte_list("example")} AS ids FROM examples),
+    offsets AS (SELECT line_no, coalesce(sum(len(ids)) OVER (ORDER BY line_no
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM ids),
+    stream AS (SELECT o + generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS token FROM ids JOIN offsets USING (line_no)),
+    blocks AS (SELECT block_id, list(token ORDER BY pos) AS xy FROM (
+      SELECT pos // {BLOCK} AS block_id, pos, token FROM stream
+      UNION ALL SELECT pos // {BLOCK} - 1, pos, token FROM stream WHERE pos % {BLOCK} = 0 AND pos > 0)
+    GROUP BY block_id HAVING count(*) = {BLOCK + 1})
+    SELECT cast(block_id AS bigint) AS block_id, cast(block_id // {BATCH} AS bigint) AS batch_id,
+      md5(array_to_string(xy[1:{BLOCK}], ' ')) AS x, md5(array_to_string(xy[2:{BLOCK + 1}], ' ')) AS y FROM blocks"""
+)
+def sft_blocks(t: Tables) -> DataFrame:
+    """JSON lines to chat examples, tokens, blocks and ordered batches, with x and y."""
+    examples, _ = _examples(t)
+    example = F.col("example")
+    ids = P.with_offsets(examples, K.byte_ids(example), K.byte_token_count(example), key="line_no")
+    batches = P.make_batches(P.pack_blocks(ids, BLOCK), BATCH, shuffle=False, drop_last=False)
+    return batches.select("block_id", "batch_id", _wide_digest(F.col("x")).alias("x"), _wide_digest(F.col("y")).alias("y"))
+
+
+@query(
+    f"""{PARAGRAPHS}, ids AS (SELECT doc_id * 100000 + paragraph_no AS k, {duck.byte_list("text")} AS ids FROM paragraphs),
+    offsets AS (SELECT k, coalesce(sum(len(ids)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM ids),
+    stream AS (SELECT o + generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS token FROM ids JOIN offsets USING (k)),
+    windows AS (SELECT pos AS start, list(token) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS x,
+      list(token) OVER (ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND {WINDOW} FOLLOWING) AS y FROM stream),
+    whole AS (SELECT * FROM windows WHERE start < (SELECT count(*) FROM stream) - {WINDOW} - 1),
+    placed AS (SELECT *, (row_number() OVER (ORDER BY md5('{SEED}:' || cast(cast(start AS bigint) AS varchar))) - 1) // {BATCH} AS batch_id FROM whole),
+    full_ones AS (SELECT * FROM placed QUALIFY count(*) OVER (PARTITION BY batch_id) = {BATCH})
+    SELECT cast(batch_id // 64 AS bigint) AS part, count(*) AS windows, bit_xor(cast('0x' || md5(batch_id || ':' || start || ':'
+        || array_to_string(x, ' ') || '|' || array_to_string(y, ' '))[1:15] AS bigint)) AS digest FROM full_ones GROUP BY 1"""
+)
+def lm_windows(t: Tables) -> DataFrame:
+    """Clean text to paragraphs, each a token sequence of its own, windows and shuffled batches.
+
+    Whole windows are compared, by a digest of every 64 batches.
+    """
+    cleaned = dirty(t).select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    keyed = split_paragraphs(cleaned, "text").withColumn("k", F.col("doc_id") * 100_000 + F.col("paragraph_no"))
+    text = F.col("text")
+    ids = P.with_offsets(keyed, K.byte_ids(text), K.byte_token_count(text), key="k")
+    batches = P.make_batches(P.sliding_windows(ids, WINDOW), BATCH, key="start", seed=SEED)
+    row = F.concat(F.col("batch_id").cast("string"), F.lit(":"), F.col("start").cast("string"), F.lit(":"), joined(F.col("x")), F.lit("|"), joined(F.col("y")))
+    digest = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("bigint")
+    return batches.groupBy(F.expr("batch_id div 64").alias("part")).agg(
+        F.count("*").alias("windows"), F.bit_xor(digest).alias("digest")
+    )

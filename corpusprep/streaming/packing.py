@@ -53,13 +53,14 @@ class BlockPacker:
                 F.col("ids").alias("tail"),
             )
         seen = state.select(*group, "last_key")
-        aged = join_groups(coded, seen, group, [], "left").withColumn(
-            "late", F.col(key) <= F.coalesce("last_key", F.lit(_TAIL_KEY))
+        reason = F.when(F.col(key).isNull(), "no key").when(
+            F.col(key) <= F.coalesce("last_key", F.lit(_TAIL_KEY)), "late"
         )
-        aged.filter("late").drop("last_key", "late").write.mode("overwrite").parquet(
+        aged = join_groups(coded, seen, group, [], "left").withColumn("reason", reason)
+        aged.filter("reason is not null").drop("last_key").write.mode("overwrite").parquet(
             self.path("late", batch_id)
         )
-        fresh = aged.filter("not late").select(*group, key, "ids")
+        fresh = aged.filter("reason is null").select(*group, key, "ids")
         tails = state.select(
             *group, F.lit(_TAIL_KEY).cast("bigint").alias(key), F.col("tail").alias("ids")
         )
@@ -81,17 +82,18 @@ class BlockPacker:
         totals = stream.groupBy(*group).agg(
             F.sum(F.size("ids").cast("bigint")).alias("total"), F.max(self.key).alias("max_key")
         )
-        full = totals.withColumn("blocks", F.floor((F.col("total") - 1) / block))
+        full = totals.withColumn("blocks", F.expr(f"greatest(0, total - 1) div {block}"))
         rest = stretches(stream, block, 0, group).withColumnsRenamed(
             {"stretch": "blocks", "tokens": "tail"}
         )
         old = state.select(*group, "next_block", "last_key")
-        kept = join_groups(full, rest, group, ["blocks"])
+        # A source without a token so far has a state too.
+        kept = join_groups(full, rest, group, ["blocks"], "left")
         return join_groups(kept, old, group, [], "left").select(
             *group,
             (F.coalesce("next_block", F.lit(0)) + F.col("blocks")).alias("next_block"),
             F.greatest("last_key", "max_key").alias("last_key"),
-            "tail",
+            F.coalesce("tail", F.array().cast("array<int>")).alias("tail"),
         )
 
 

@@ -105,3 +105,15 @@ def test_or_default(spark):
     df = spark.createDataFrame([(1, [5])], "doc_id bigint, ids array<int>")
     assert [r.ids for r in P.or_default(df).collect()] == [[5]]
     assert [(r.doc_id, r.ids) for r in P.or_default(df.filter("false")).collect()] == [(None, [1, 2])]
+
+
+def test_null_and_repeated_keys_keep_every_token_once(spark):
+    rows = [(1, [1, 2, 3]), (1, [1, 2, 3]), (1, [9]), (None, [7, 7]), (0, [4]), (5, []), (2, [5, 6])]
+    df = spark.createDataFrame(rows, "doc_id bigint, ids array<int>").repartition(3)
+    for n_tokens in (None, F.size("ids")):
+        frame = P.with_offsets(df, F.col("ids"), n_tokens)
+        got = [r.token for r in P.token_stream(frame).orderBy("pos").collect()]
+        assert [r.pos for r in P.token_stream(frame).orderBy("pos").collect()] == list(range(10))
+        assert got[0] == 4 and got[8:] == [5, 6] and sorted(got[1:8]) == [1, 1, 2, 2, 3, 3, 9]
+    left = P.without_key(df).collect()
+    assert [r.ids for r in left] == [[7, 7]]

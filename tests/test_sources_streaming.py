@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -81,6 +82,15 @@ def test_stream_examples_equal_batch(spark, tmp_path):
     assert sorted(r.reject for r in spark.table("rejected").collect()) == ["field is not a string", "unparsable"]
 
 
+def test_stream_examples_reject_torn_lines(spark, tmp_path):
+    (tmp_path / "f.jsonl").write_bytes(b'{"text":"good"}\n{"text":"x\xff"}\n')
+    examples, rejected = stream_examples(spark, str(tmp_path))
+    drain(examples, "append", "whole_examples")
+    drain(rejected, "append", "torn")
+    assert [r.example for r in spark.table("whole_examples").collect()] == ["good"]
+    assert [r.reject for r in spark.table("torn").collect()] == ["not UTF-8"]
+
+
 def test_stream_pack_equals_batch(spark, tmp_path):
     rows = [("hot" if i % 3 else f"s{i % 2}", i, "x" * (i * 7 % 40) + str(i)) for i in range(60)]
     schema = "source string, seq bigint, text string"
@@ -89,6 +99,7 @@ def test_stream_pack_equals_batch(spark, tmp_path):
         body = [dict(zip(("source", "seq", "text"), r)) for r in rows[part * 15 : part * 15 + 15]]
         if part == 2:
             body.append({"source": "hot", "seq": 1, "text": "late"})
+            body.append({"source": "hot", "seq": None, "text": "no key"})
         file = tmp_path / "in" / f"{part}.json"
         file.write_text("\n".join(map(json.dumps, body)))
         os.utime(file, (1_700_000_000 + part, 1_700_000_000 + part))  # files are read oldest first
@@ -104,7 +115,25 @@ def test_stream_pack_equals_batch(spark, tmp_path):
     got = spark.read.parquet(packer.path("blocks")).select(columns).collect()
     assert len(got) == len(wanted) and {tuple(map(str, r)) for r in got} == wanted
     late = spark.read.parquet(packer.path("late")).collect()
-    assert [(r.source, r.seq) for r in late] == [("hot", 1)]
+    assert sorted((r.reason, r.source, r.seq) for r in late) == [("late", "hot", 1), ("no key", "hot", None)]
+
+
+def test_stream_pack_loses_no_token(spark, tmp_path):
+    """Tokens in are those in blocks, tails and set-aside rows, with keys null and repeated."""
+    random.seed(4)
+    rows = [("s%d" % (i % 3), random.choice([i, i // 2, None]), "y" * random.randint(0, 30)) for i in range(60)]
+    rows += [("empty", 1, "")]
+    packer = BlockPacker(str(tmp_path / "out"), 8, byte_ids(F.col("text")))
+    schema = "source string, seq bigint, text string"
+    for k in range(3):
+        packer(spark.createDataFrame(rows[k::3], schema), k)
+    count = lambda df, c: df.agg(F.sum(F.size(c))).first()[0] or 0
+    blocks = spark.read.parquet(packer.path("blocks")).withColumn("x", F.col("x"))
+    late = spark.read.parquet(packer.path("late"))
+    state = spark.read.parquet(packer.path("state", 2))
+    total = sum(len(t) + 2 for _, _, t in rows)
+    assert count(blocks, "x") + count(state, "tail") + count(late, "ids") == total
+    assert {r.source for r in state.collect()} == {"s0", "s1", "s2", "empty"}
 
 
 LOG = [
