@@ -113,10 +113,10 @@ def learn_lexicon(
 
     Terms are whole words and starts of words (`shortest` to `longest` letters) whose share of
     toxic texts is high beyond chance: log-likelihood ratio of `evidence` or more, `purity` of
-    their uses toxic. Toxic texts that seem copies of each other
-    count once. A term under a shorter
-    one that is itself in the lexicon is left out, unless its uses are mostly clean: then it
-    is an exception. The `max_terms` terms with the best evidence bound the lexicon.
+    their uses toxic. Toxic texts that seem copies of each other count once. Of starts of one
+    word the longest counts that has the uses of the shortest. Words under a term whose uses
+    are mostly clean are exceptions. The `max_terms` terms with the best evidence bound the
+    lexicon.
     """
     seen = cut_lineage(labelled.mapInArrow(_labelled_words, "copy bigint, words array<string>, counts array<bigint>"))
     toxic = seen.filter("copy is not null").groupBy("copy").agg(F.max("words").alias("words"))
@@ -146,7 +146,12 @@ def learn_lexicon(
     chosen = counts.withColumn("g", ratio).filter((F.col("g") >= evidence) & (part >= purity))
     best = chosen.orderBy(F.desc("g"), "term").limit(max_terms).collect()
     found = {r.term: math.log((r.t + 0.5) / (all_t + 1)) - math.log((r.c + 0.5) / (all_c + 1)) for r in best}
-    kept = {t: w for t, w in found.items() if not any(t[:k] in found for k in range(shortest + 1, len(t)))}
+    uses = {r.term: r.t for r in best}
+    first = [t for t in found if not any(t[:k] in found for k in range(shortest + 1, len(t)))]
+    # The longest start that loses next to no use of the shortest one meets fewer other words.
+    starts = [t for t in found if not t.endswith(" ")]
+    longer = [max((u for u in starts if u.startswith(t) and uses[u] >= 0.98 * uses[t]), key=len, default=t) for t in first]
+    kept = {t: found[t] for t in longer}
     if not kept:
         return {}, []
     short = {t.strip() for t in kept if not t.endswith(" ")}
