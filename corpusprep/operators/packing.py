@@ -25,9 +25,15 @@ def stream_offsets(
     df: DataFrame, n_tokens: Column, key: str = "doc_id", group: Sequence[str] = ()
 ) -> DataFrame:
     """First position of each key's examples in the stream of its group; rows without key have none."""
+    return _key_offsets(df, n_tokens, key, group).drop("n_rows")
+
+
+def _key_offsets(df: DataFrame, n_tokens: Column, key: str, group: Sequence[str]) -> DataFrame:
     sized = df.select(*group, key, n_tokens.cast("bigint").alias("n_tokens"))
-    each = sized.filter(F.col(key).isNotNull()).groupBy(*group, key).agg(F.sum("n_tokens").alias("n_tokens"))
-    return running_totals(each, key, ["n_tokens"], group).withColumnRenamed(
+    each = sized.filter(F.col(key).isNotNull()).groupBy(*group, key).agg(
+        F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows")
+    )
+    return running_totals(each, key, ["n_tokens", "n_rows"], group).drop("before_n_rows").withColumnRenamed(
         "before_n_tokens", "offset"
     )
 
@@ -54,11 +60,14 @@ def with_offsets(
     if n_tokens is None:
         keyed = cut_lineage(keyed.select(*group, key, ids.alias("ids")))
         ids, n_tokens = F.col("ids"), F.size("ids")
-    offsets = stream_offsets(keyed, n_tokens, key, group).drop("n_tokens")
+    offsets = _key_offsets(keyed, n_tokens, key, group).drop("n_tokens")
+    columns = [*group, key, "offset", ids.alias("ids")]
+    once = join_groups(keyed, offsets.filter("n_rows = 1"), group, [key]).select(*columns)
+    # Only keys that repeat are sorted once more; where there are none, this part is empty.
     same = W.partitionBy(*group, key).orderBy(F.xxhash64(*keyed.columns)).rowsBetween(W.unboundedPreceding, -1)
-    placed = join_groups(keyed, offsets, group, [key])
+    repeated = join_groups(keyed, offsets.filter("n_rows > 1"), group, [key])
     before = F.coalesce(F.sum(n_tokens.cast("bigint")).over(same), F.lit(0))
-    return placed.withColumn("offset", F.col("offset") + before).select(*group, key, "offset", ids.alias("ids"))
+    return once.unionByName(repeated.withColumn("offset", F.col("offset") + before).select(*columns))
 
 
 def token_stream(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:

@@ -12,6 +12,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Setting that spreads each table over so many partitions when it is read. Unset by default:
+#: it is for small tables of one row group, which would keep a single core busy.
+SPREAD = "spark.corpusprep.read.partitions"
+
+
 class Tables:
     """Lazy access to the parquet tables of a folder: ``tables.documents``."""
 
@@ -20,7 +25,9 @@ class Tables:
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        spread = self.spark.conf.get(SPREAD, None)
+        return table.repartition(int(spread)) if spread else table
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """Run SQL whose ``{table}`` names are the given frames or tables of the folder."""
