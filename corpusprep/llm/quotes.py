@@ -73,14 +73,19 @@ def _parse(min_words: int):
 
 
 def _ancestors(parents: DataFrame) -> DataFrame:
-    """``id, thread_id, depth`` from ``id, parent_id``, by doubling the length of the known path."""
-    state = cut_lineage(parents.select("id", F.coalesce("parent_id", "id").alias("up"), F.col("parent_id").isNotNull().cast("int").alias("depth")))
-    while True:
-        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        state = cut_lineage(state.join(above, "up").select("id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
-        if state.filter("moved").isEmpty():
-            return state.select("id", F.col("up").alias("thread_id"), "depth")
-        state = state.drop("moved")
+    """``id, thread_id, depth`` from ``id, parent_id``, by doubling the length of the known path.
+
+    Messages whose path has reached its root are only looked up from then on.
+    """
+    rooted = F.col("parent_id").isNull()
+    state = cut_lineage(parents.select(
+        "id", F.coalesce("parent_id", "id").alias("up"), (~rooted).cast("int").alias("depth"), rooted.alias("done")))
+    while not (waiting := state.filter("not done").drop("done")).isEmpty():
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), "done")
+        moved = waiting.join(above, "up").select(
+            "id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), "done")
+        state = cut_lineage(state.filter("done").unionByName(moved))
+    return state.select("id", F.col("up").alias("thread_id"), "depth")
 
 
 def link_quotes(messages: DataFrame, *, id_col: str = "id", text_col: str = "text", min_words: int = 4) -> DataFrame:
