@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusprep.llm.common import BROADCAST_ROWS
 from corpusprep.llm.components import connected_components
 from corpusprep.llm.hashing import WordHashes, mix, word_hashes
 from corpusprep.session import cut_lineage
@@ -152,31 +153,39 @@ def fuzzy_lines(
         .agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sim").alias("sim"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    keyed = nodes.select("node", "sim", "n", F.explode(_block_keys(F.col("sim"), blocks, distance)).alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("node", "sim", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    hubs = cut_lineage(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.sim").alias("hub_sim"), F.col("hub.n").alias("hub_n")))
-    shared = cut_lineage(keyed.join(hubs, "key"))
+    # Keys, many per line, travel with the node alone.
+    keyed = nodes.select("node", F.explode(_block_keys(F.col("sim"), blocks, distance)).alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    shared = cut_lineage(keyed.join(hubs.select("key", "hub"), "key"))
+    facts = nodes.select("node", "sim", "n")
 
     def alike(s1: str, s2: str, n1: str, n2: str) -> Column:
         near = F.bit_count(F.col(s1).bitwiseXOR(F.col(s2))) <= distance
         return near & (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
 
     def codes(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ends = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         wanted = ends.join(nodes, "node").groupBy(F.col("first.id").alias("_id")).agg(
             F.collect_list(F.struct("node", F.col("first.line_no").alias("line_no"), "h1", "h2")).alias("wanted"))
+        if ends.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)  # else the texts are shuffled to the lines that are asked for
         found = texts.join(wanted, F.col("id") == F.col("_id")).select("text", "wanted")
         return cut_lineage(found.mapInArrow(_encodings, "node bigint, words string").dropDuplicates(["node"]))
 
-    stars = shared.filter((F.col("node") != F.col("hub")) & alike("sim", "hub_sim", "n", "hub_n"))
-    stars = cut_lineage(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    stars = (
+        shared.filter("node <> hub").select("node", "hub").distinct().join(facts, "node")
+        .join(facts.toDF("hub", "hub_sim", "hub_n"), "hub").filter(alike("sim", "hub_sim", "n", "hub_n"))
+    )
+    stars = cut_lineage(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     links = cut_lineage(_verified(stars, codes(stars), percent))
     comps = connected_components(links)
 
-    own = shared.join(comps, F.col("node") == F.col("id"), "left").select("key", "node", "sim", "n", "hub", F.coalesce("component", "node").alias("comp"))
+    own = shared.join(comps, F.col("node") == F.col("id"), "left").select("key", "node", "hub", F.coalesce("component", "node").alias("comp"))
     at = comps.select(F.col("id").alias("hub"), F.col("component").alias("hub_comp"))
     own = own.join(at, "hub", "left").withColumn("apart", F.col("comp") != F.coalesce("hub_comp", "hub"))
-    others = own.select("key", F.col("node").alias("node2"), F.col("sim").alias("sim2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("apart").alias("apart2"), F.lit(True).alias("x"))
+    open_keys = own.filter("apart").select("key").distinct()
+    own = cut_lineage(own.join(open_keys, "key", "left_semi").join(facts, "node").select("key", "node", "sim", "n", "comp", "apart"))
+    others = own.select("key", F.col("node").alias("node2"), F.col("sim").alias("sim2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("apart").alias("apart2"))
     rest = own.filter("apart").join(others, "key").filter(
         (F.col("comp") != F.col("comp2")) & (~F.col("apart2") | (F.col("node") < F.col("node2"))) & alike("sim", "sim2", "n", "n2"))
     rest = rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(
