@@ -177,7 +177,7 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op5_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
-    found = lines.fuzzy_lines(table(spark, folder, "documents"))
+    found = lines.similar_lines(table(spark, folder, "documents"))
     return found.withColumnsRenamed({"id": "doc_id", "keep_id": "keep_doc_id"})
 
 

@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from corpusprep.llm import lines
 from corpusprep.llm.hashing import WordHashes, mix, word_hashes
@@ -109,3 +110,59 @@ def test_texts_without_duplicate_lines(spark):
 
 def test_empty_table(spark):
     assert lines.fuzzy_lines(table(spark, [])).collect() == []
+
+
+def test_every_pair_within_the_edits_is_linked(spark):
+    rng = random.Random(5)
+    rows = [r for r in corpus() if len(r[1] or "") < 300]
+    for k, n in enumerate([4, 5, 6, 7, 9, 10, 11, 14, 15, 20, 29, 40, 63]):
+        base = words(rng, n)
+        most = edited(rng, base, n // 5)
+        shorter = [w for i, w in enumerate(base) if i not in rng.sample(range(n), n // 5)]
+        rows += [(2000 + 3 * k + i, " ".join(w), "en", "a") for i, w in enumerate((base, most, shorter))]
+    got = lines.similar_lines(table(spark, rows)).collect()
+    links_by_similarity_alone = brute_by_similarity(rows)
+    assert sorted(str(tuple(r)) for r in got) == links_by_similarity_alone
+    by_id = {r.id: r for r in got if r.id and r.id >= 2000 and r.line_no == 0}
+    assert all(not by_id[2000 + 3 * k + 1].kept for k in range(1, 13))
+
+
+def brute_by_similarity(rows):
+    """The brute force with no bound on SimHashes."""
+    law, lines.DISTANCE = lines.DISTANCE, 64
+    try:
+        return brute(rows)
+    finally:
+        lines.DISTANCE = law
+
+
+def test_keys_meet_for_any_ranks():
+    rng = random.Random(8)
+    cache = WordHashes()
+    all_ranks = [np.random.default_rng(k).integers(0, 256, 1 << 21).astype(np.uint8) for k in range(4)]
+    for _ in range(4000):
+        percent = rng.choice([50, 70, 80, 80, 90])
+        a = [rng.choice("abcdefghijklmnopqrstuvwxyz" if rng.random() < 0.9 else "ab") for _ in range(rng.randint(1, 40))]
+        b = list(a)
+        for _ in range(rng.randint(1, max(1, len(a) * (100 - percent) // 100))):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = [rng.choice("ABCabc")] * rng.randint(0, 1)
+        if a == b or not b or distance(a, b) > max(len(a), len(b)) * (100 - percent) // 100:
+            continue
+        hashes = mix(np.concatenate([word_hashes(w, cache) for w in (a, b)]))
+        ranks = rng.choice(all_ranks)
+        own, keys = lines.line_keys(hashes, np.array([len(a), len(b)]), ranks, percent)
+        assert set(keys[own == 0]) & set(keys[own == 1]), (a, b, percent)
+
+
+def test_keys_of_two_lines_in_batches_of_any_size():
+    rng = random.Random(4)
+    for _ in range(200):
+        rows = sorted((rng.randint(0, 12), rng.randint(0, 3)) for _ in range(rng.randint(0, 40)))
+        cuts = [0, *sorted(rng.randint(0, len(rows)) for _ in range(4)), len(rows)]
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a:b]], pa.int64()) for k in (0, 1)], ["key", "h1"])
+            for a, b in zip(cuts, cuts[1:])
+        ]
+        got = [tuple(r.values()) for b in lines._met(batches) for r in b.to_pylist()]
+        assert got == [r for r in sorted(set(rows)) if len({h for k, h in rows if k == r[0]}) > 1]
