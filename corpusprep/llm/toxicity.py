@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusprep.llm.hashing import WordHashes, shingle_hashes
+from corpusprep.llm.hashing import WordHashes, mix, shingle_hashes
 from corpusprep.session import cut_lineage
 
 # Letters of other scripts that look like Latin ones, and what stands for letters.
@@ -79,31 +79,76 @@ def _letter(word: str, k: int) -> str:
     return SUBSTITUTES.get(c, c) if near else c
 
 
+#: Texts that share this many least hashes of three words are taken for copies.
+_MINIMA = 3
+#: Bits of the filter that picks texts with copies, and copy keys up to which it is used.
+_FILTER_BITS = 27
+_FILTER_KEYS = 4_000_000
+
+
 def _copy_key(words: list[str], cache: WordHashes) -> int:
-    """Equal for most near copies of a text."""
+    """Equal for most near copies of a text, and hardly for texts that share a passage."""
     found = shingle_hashes(words, 3, cache)
-    return int(found.min() >> np.uint64(1)) if len(found) else 0
+    if not len(found):
+        return 0
+    key = np.zeros(1, np.uint64)
+    for k in range(_MINIMA):
+        key = mix(key ^ (mix(found + np.uint64(k)) if k else found).min())
+    return int(key[0] >> np.uint64(1))
 
 
 _PART = 10_000
 
 
-def _labelled_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Toxic texts as one row of distinct words each; the words of clean texts counted per batch."""
+def _copy_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
-    schema = pa.schema([("copy", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
     for batch in batches:
-        rows, clean = [], Counter()
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = fold(text).split()
-            if toxic:
-                rows.append({"copy": _copy_key(words, cache), "words": list(dict.fromkeys(words)), "counts": None})
-            else:
-                clean.update(set(words))
-        found, counts = list(clean), list(clean.values())
-        for k in range(0, len(found), _PART):
-            rows.append({"copy": None, "words": found[k : k + _PART], "counts": counts[k : k + _PART]})
-        yield pa.RecordBatch.from_pylist(rows, schema)
+        keys = [_copy_key(fold(text).split(), cache) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(keys, pa.int64())], ["toxic", "copy"])
+
+
+def _slot(copy: np.ndarray) -> np.ndarray:
+    return copy >> np.int64(63 - _FILTER_BITS)
+
+
+def _labelled_words(shared):
+    """Texts that may have copies as one row of distinct words each; the words of the others counted per batch.
+
+    `shared` is a broadcast of the bits of copy keys that stand on two rows or more; without it every text is a row.
+    """
+    schema = pa.schema([("toxic", pa.int32()), ("copy", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            rows, single = [], {0: Counter(), 1: Counter()}
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                words = fold(text).split()
+                copy = _copy_key(words, cache)
+                slot = copy >> (63 - _FILTER_BITS)
+                if shared is None or shared.value[slot >> 3] >> (slot & 7) & 1:
+                    rows.append({"toxic": toxic, "copy": copy, "words": list(dict.fromkeys(words)), "counts": None})
+                else:
+                    single[toxic].update(set(words))
+            for toxic, counter in single.items():
+                found, counts = list(counter), list(counter.values())
+                for k in range(0, len(found), _PART):
+                    rows.append({"toxic": toxic, "copy": None, "words": found[k : k + _PART], "counts": counts[k : k + _PART]})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return run
+
+
+def _copied(labelled: DataFrame):
+    """A broadcast of bits that stand for the copy keys of two rows or more; None for too many of them."""
+    keys = labelled.mapInArrow(_copy_keys, "toxic int, copy bigint").groupBy("toxic", "copy").agg(F.count("*").alias("n"))
+    repeated = cut_lineage(keys.filter("n > 1").select("copy"))
+    if repeated.count() > _FILTER_KEYS:
+        return None
+    slots = _slot(repeated.toArrow()["copy"].to_numpy())
+    bits = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
+    np.bitwise_or.at(bits, slots >> 3, np.uint8(1) << (slots & 7).astype(np.uint8))
+    return labelled.sparkSession.sparkContext.broadcast(bits)
 
 
 def learn_lexicon(
@@ -113,19 +158,19 @@ def learn_lexicon(
 
     Terms are whole words and starts of words (`shortest` to `longest` letters) whose share of
     toxic texts is high beyond chance: log-likelihood ratio of `evidence` or more, `purity` of
-    their uses toxic. Toxic texts that seem copies of each other count once. Of starts of one
-    word the longest counts that has the uses of the shortest. Words under a term whose uses
+    their uses toxic. A word counts once for all texts of one label that seem copies of each
+    other, whichever of them has it. Of starts of one word the longest counts that has the
+    uses of the shortest. Words under a term whose uses
     are mostly clean are exceptions. The `max_terms` terms with the best evidence bound the
     lexicon.
     """
-    seen = cut_lineage(labelled.mapInArrow(_labelled_words, "copy bigint, words array<string>, counts array<bigint>"))
-    toxic = seen.filter("copy is not null").groupBy("copy").agg(F.max("words").alias("words"))
-    clean = seen.filter("copy is null").select(F.inline(F.arrays_zip("words", "counts"))).toDF("word", "c")
-    words = cut_lineage(
-        toxic.select(F.explode("words").alias("word"), F.lit(1).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("c"))
-        .unionByName(clean.select("word", F.lit(0).cast("bigint").alias("t"), "c"))
-        .groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    )
+    seen = cut_lineage(labelled.mapInArrow(
+        _labelled_words(_copied(labelled)), "toxic int, copy bigint, words array<string>, counts array<bigint>"))
+    copies = seen.filter("copy is not null").select("toxic", "copy", F.explode("words").alias("word")).distinct()
+    single = seen.filter("copy is null").select("toxic", F.inline(F.arrays_zip("words", "counts"))).toDF("toxic", "word", "n")
+    uses = copies.select("toxic", "word", F.lit(1).cast("bigint").alias("n")).unionByName(single)
+    words = cut_lineage(uses.groupBy("word").agg(
+        F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c")))
     length = F.length("word")
     starts = F.transform(
         F.sequence(F.lit(shortest), F.greatest(F.lit(shortest), F.least(length, F.lit(longest)))),

@@ -85,3 +85,24 @@ def test_without_labels(spark):
     assert toxicity.score(table(spark, []), plain).collect() == []
     one_kind = toxicity.learn(spark.createDataFrame([("fine words", 0)] * 5, "text string, toxic int"))
     assert one_kind.weights == list(toxicity._PLAIN)
+
+
+def test_words_of_every_copy_count_once(spark):
+    rng = random.Random(3)
+    passage, own = " ".join(words(rng, 300)), ["".join(rng.choice("qrstuvwxyz") for _ in range(9)) for _ in range(40)]
+    rows = [(f"{passage} {w} blortish", 1) for w in own] + [(f"{' '.join(words(rng, 30))} plainest", 0) for _ in range(20)]
+    rows += [(f"{passage} scarcely", 0)] * 30 + [("common words plainest", 0)]
+    terms, _ = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), evidence=0.0, purity=0.5)
+    assert all(any(toxicity.fold(w).startswith(t) for t in terms) for w in own)
+    few, _ = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), purity=0.5)
+    assert not any(" scarceiy ".startswith(t) for t in few)
+
+
+def test_texts_that_share_a_passage_are_no_copies():
+    rng = random.Random(6)
+    passage, cache = words(rng, 60), toxicity.WordHashes()
+    keys = {toxicity._copy_key(passage + words(rng, 60), cache) for _ in range(200)}
+    assert len(keys) > 150
+    base = words(rng, 300)
+    changed = [base[:k] + ["other"] + base[k + 1 :] for k in range(0, 300, 3)]
+    assert sum(toxicity._copy_key(w, cache) == toxicity._copy_key(base, cache) for w in changed) > 85
