@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusprep.session import cut_lineage
 
 _MARKS = re.compile(r"[ \t]*(?:>[ \t]?)+")
+_SENTENCE = re.compile(r"(?<=[.!?]) ")
 _ATTRIBUTION = re.compile(r"\S.*\bwrote:\s*")
 
 
@@ -27,8 +28,8 @@ def quote_levels(text: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def passages(levels: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    """Runs of lines of one level between blank lines, in lower case with single spaces."""
+def _passage_lines(levels: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
+    """Runs of lines of one level between blank lines, each line in lower case with single spaces."""
     out: list[tuple[int, list[str]]] = []
     last = None
     for level, line in levels:
@@ -38,9 +39,22 @@ def passages(levels: list[tuple[int, str]]) -> list[tuple[int, str]]:
             continue
         if level != last:
             out.append((level, []))
-        out[-1][1].extend(words)
+        out[-1][1].append(" ".join(words))
         last = level
-    return [(level, " ".join(words)) for level, words in out]
+    return out
+
+
+def passages(levels: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Runs of lines of one level between blank lines, in lower case with single spaces."""
+    return [(level, " ".join(lines)) for level, lines in _passage_lines(levels)]
+
+
+def parts(lines: list[str]) -> list[str]:
+    """The different lines and sentences of a passage, other than the passage itself."""
+    whole = " ".join(lines)
+    found = dict.fromkeys([*lines, *_SENTENCE.split(whole)])
+    found.pop(whole, None)
+    return list(found)
 
 
 def own_text(levels: list[tuple[int, str]]) -> str:
@@ -50,7 +64,7 @@ def own_text(levels: list[tuple[int, str]]) -> str:
 
 
 def _parse(min_words: int):
-    passage = pa.struct([("level", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32())])
+    passage = pa.struct([("p", pa.int32()), ("part", pa.bool_()), ("level", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32())])
     schema = pa.schema([("id", pa.int64()), ("own", pa.string()), ("n_quotes", pa.int32()), ("passages", pa.list_(passage))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,13 +73,14 @@ def _parse(min_words: int):
             for row, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 levels = quote_levels(text)
                 found, quotes = [], 0
-                for level, words in passages(levels):
+                for p, (level, lines) in enumerate(_passage_lines(levels)):
                     quotes += level > 0
-                    n = words.count(" ") + 1
-                    if n >= min_words:
-                        raw = xxhash.xxh3_128_digest(words.encode("utf-8", "surrogatepass"))
-                        found.append({"level": level, "n": n, "h1": int.from_bytes(raw[:8], "little", signed=True),
-                                      "h2": int.from_bytes(raw[8:], "little", signed=True)})
+                    for k, words in enumerate([" ".join(lines), *parts(lines)]):
+                        n = words.count(" ") + 1
+                        if n >= min_words:
+                            raw = xxhash.xxh3_128_digest(words.encode("utf-8", "surrogatepass"))
+                            found.append({"p": p, "part": k > 0, "level": level, "n": n, "h1": int.from_bytes(raw[:8], "little", signed=True),
+                                          "h2": int.from_bytes(raw[8:], "little", signed=True)})
                 rows.append({"id": row, "own": own_text(levels), "n_quotes": quotes, "passages": found})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -93,7 +108,9 @@ def link_quotes(messages: DataFrame, *, id_col: str = "id", text_col: str = "tex
 
     Quote marks at the start of lines give each line a level, nested quotes a higher one. Runs
     of lines of a level are passages; a quoted passage belongs to the earliest message (the
-    smallest id) that has it as unquoted text. The parent of a message is the owner of its
+    smallest id) that has it as unquoted text. Of a quoted passage that no earlier message has
+    as a whole, such as a trimmed one, the lines and sentences are looked up among the lines and
+    sentences of all messages; it belongs to the owner of most of its words. The parent of a message is the owner of its
     least nested passage, the longest one first; it must be an earlier message. Ordered by
     ``thread_id, depth, id`` the messages of a thread follow what they reply to, and
     `own_text` has them without quotes and lines that only name an author.
@@ -105,11 +122,23 @@ def link_quotes(messages: DataFrame, *, id_col: str = "id", text_col: str = "tex
     """
     rows = messages.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     parsed = cut_lineage(rows.mapInArrow(
-        _parse(min_words), "id bigint, own string, n_quotes int, passages array<struct<level:int,h1:bigint,h2:bigint,n:int>>"))
+        _parse(min_words), "id bigint, own string, n_quotes int, passages array<struct<p:int,part:boolean,level:int,h1:bigint,h2:bigint,n:int>>"))
     known = parsed.filter("id is not null")
-    spread = known.select("id", F.inline("passages"))
-    owners = spread.filter("level = 0").groupBy("h1", "h2").agg(F.min("id").alias("owner"))
-    quoted = spread.filter("level > 0").join(owners, ["h1", "h2"]).filter("owner < id")
+    spread = known.withColumn("row", F.monotonically_increasing_id()).select("id", "row", F.inline("passages"))
+    spread = cut_lineage(spread)
+    whole = spread.filter("not part")
+    owners = whole.filter("level = 0").groupBy("h1", "h2").agg(F.min("id").alias("owner"))
+    linked_as_whole = whole.filter("level > 0").join(owners, ["h1", "h2"]).filter("owner < id")
+    quoted = cut_lineage(linked_as_whole.select("id", "row", "p", "level", "n", "owner"))
+    open_parts = cut_lineage(spread.filter("level > 0").join(quoted.select("row", "p"), ["row", "p"], "left_anti"))
+    if not open_parts.isEmpty():
+        # Trimmed quotes: their lines and sentences among those of the messages.
+        owners = spread.filter("level = 0").join(open_parts.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+        owners = owners.groupBy("h1", "h2").agg(F.min("id").alias("owner"))
+        met = open_parts.join(owners, ["h1", "h2"]).filter("owner < id").groupBy("id", "row", "p", "level", "owner").agg(F.sum("n").alias("n"))
+        most = met.groupBy("id", "row", "p", "level").agg(F.max(F.struct("n", (-F.col("owner")).alias("o"))).alias("m"))
+        quoted = quoted.unionByName(most.select(
+            "id", "row", "p", "level", F.col("m.n").cast("int").alias("n"), (-F.col("m.o")).alias("owner")))
     best = quoted.groupBy("id").agg(
         F.min(F.struct("level", (-F.col("n")).alias("n"), "owner")).alias("best"), F.count("*").alias("n_linked"))
     texts = known.groupBy("id").agg(F.min("own").alias("own_text"), F.sum("n_quotes").alias("n_quotes"))

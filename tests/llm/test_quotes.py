@@ -63,3 +63,18 @@ def test_awkward_messages(spark):
 
 def test_empty_table(spark):
     assert quotes.link_quotes(messages(spark, [])).collect() == []
+
+
+def test_trimmed_and_interleaved_quotes(spark):
+    first = "The first point is about the budget. It was never agreed by anyone here.\nthe second line has a thought of its own\nand the third line asks who pays for it"
+    other = "some message about quite other things\nand the third line asks who pays for it"
+    rows = [
+        (1, first), (2, other), (3, "> the second line has a thought of its own\n\nI do not think so at all"),
+        (4, "> It was never agreed by anyone here.\n\nYes it was"),
+        (5, "> the second line has a thought of its own\nmy answer stands between the lines\n> and the third line asks who pays for it\nnot me"),
+        (6, "> quite unknown words that nobody ever wrote\n\nhm"),
+        (7, "> some message about quite other things\n> [...]\n\nreply to the other"),
+    ]
+    given = spark.createDataFrame(rows, "id bigint, text string")
+    got = {r.id: (r.parent_id, r.thread_id, r.n_linked) for r in quotes.link_quotes(given).collect()}
+    assert got == {1: (None, 1, 0), 2: (None, 2, 0), 3: (1, 1, 1), 4: (1, 1, 1), 5: (1, 1, 2), 6: (None, 6, 0), 7: (2, 2, 1)}
