@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusprep.llm import (
-    decontaminate, exact_dedup, langid, lines, minhash, mixing, quotes, sharding, toxicity, warc,
+    centroids, decontaminate, exact_dedup, langid, lines, minhash, mixing, quotes, sharding, toxicity, warc,
 )
 from corpusprep.llm.common import small_side
+from corpusprep.session import local_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -215,3 +217,33 @@ SELECT id AS message_id, parent_id, thread_id, depth, n_quotes, n_linked, md5(tr
 def op9_quote_threads(spark: SparkSession, folder: str) -> DataFrame:
     found = quotes.link_quotes(mail(table(spark, folder, "conversations")), id_col="message_id")
     return found.withColumnRenamed("id", "message_id").withColumn("own_md5", F.md5("own_text")).drop("own_text")
+
+
+def _cluster_sql(k: int = 8, rounds: int = 10) -> str:
+    """Distances to all centroids, compared; one chain of steps a round."""
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+          FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM v ORDER BY c LIMIT {k})""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (SELECT r, any_value(v.v) AS v, any_value(vec_id) AS vec_id, min({{'d':
+              list_sum(list_transform(list_zip(v.v, c{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'c': c}}) AS m FROM v, c{i} GROUP BY r)"""
+        )
+        steps.append(
+            f"""c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(u.v, c{i}.v) AS v FROM c{i} LEFT JOIN (
+              SELECT c, list(((t - ((t % n) + n) % n) // n)::BIGINT ORDER BY d) AS v FROM (SELECT m.c AS c, d, sum(x) AS t, count(*) AS n FROM (
+                SELECT m, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM a{i}) GROUP BY ALL) GROUP BY c) u USING (c))"""
+        )
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, m.c::INT AS cluster, m.d::BIGINT AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia,
+  (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c ON c.c = m.c"""
+
+
+@query(_cluster_sql())
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    assigned, found = centroids.cluster(table(spark, folder, "embeddings"))
+    digests = [(c, hashlib.sha256(",".join(map(str, v)).encode()).hexdigest()) for c, v in enumerate(found)]
+    names = local_frame(spark, digests, "cluster int, centroid_sha256 string")  # one row a centroid
+    return centroids.with_inertia(assigned).join(F.broadcast(names), "cluster").withColumnRenamed("id", "vec_id")
