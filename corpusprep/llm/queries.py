@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusprep.llm import (
-    centroids, decontaminate, exact_dedup, langid, lines, minhash, mixing, quotes, sharding, toxicity, warc,
+    centroids, decontaminate, exact_dedup, langid, lines, minhash, mixing, quotes, sharding, toxicity, vantage, warc,
 )
 from corpusprep.llm.common import small_side
 from corpusprep.session import local_frame
@@ -219,6 +219,11 @@ def op9_quote_threads(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "message_id").withColumn("own_md5", F.md5("own_text")).drop("own_text")
 
 
+@query()
+def op11_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return vantage.simhash_duplicates(table(spark, folder, "documents"), width=3, distance=3).withColumnRenamed("id", "doc_id")
+
+
 def _cluster_sql(k: int = 8, rounds: int = 10) -> str:
     """Distances to all centroids, compared; one chain of steps a round."""
     steps = [
