@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusprep.llm import (
-    centroids, decontaminate, exact_dedup, langid, lines, minhash, mixing, quotes, sharding, toxicity, vantage, warc,
+    centroids, decontaminate, exact_dedup, langid, lines, minhash, mixing, prefix_trie, quotes, sharding, toxicity, vantage, warc,
 )
 from corpusprep.llm.common import small_side
-from corpusprep.session import local_frame
+from corpusprep.session import cut_lineage, local_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -224,6 +224,47 @@ def op11_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return vantage.simhash_duplicates(table(spark, folder, "documents"), width=3, distance=3).withColumnRenamed("id", "doc_id")
 
 
+def shared_openings(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations of which the first turns are replaced by those of the first one of their hundred; and all ids."""
+    placed = cut_lineage(prefix_trie.place_turns(conversations))
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    columns = ["conv_id", "part", "pos", "d1", "d2", "size"]
+    own = placed.filter(F.col("pos") > h).withColumn("part", F.lit(1)).select(*columns)
+    heads = placed.filter("conv_id % 100 = 0 and pos <= 5").withColumnRenamed("conv_id", "base")
+    ids = conversations.select(F.col("conv_id").cast("bigint")).filter("conv_id is not null").distinct()
+    opened = ids.withColumn("base", F.expr("conv_id - conv_id % 100")).join(heads, "base").filter(F.col("pos") <= h)
+    return own.unionByName(opened.withColumn("part", F.lit(0)).select(*columns)), ids
+
+
+_CRC_STEP = "xor(xor(c, x) >> 1, 3988292384::UBIGINT * (xor(c, x) & 1))"
+_CRC = f"""xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+  lambda y: [unicode(y)::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT]))), lambda c, x: {_CRC_STEP}), 4294967295::UBIGINT)"""
+
+
+@query(f"""
+WITH o AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))[1:30]) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+i AS MATERIALIZED (SELECT conv_id, ({_CRC} % 6)::BIGINT AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT conv_id, 1 AS part, pos, role, text FROM o JOIN i USING (conv_id) WHERE pos > h
+  UNION ALL SELECT i.conv_id, 0, pos, role, text FROM i JOIN o ON o.conv_id = i.conv_id - i.conv_id % 100 WHERE pos <= h),
+n AS (SELECT conv_id, row_number() OVER w AS depth, text, list({{'r': role, 't': text}}) OVER w AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+p AS MATERIALIZED (SELECT conv_id, depth, text, md5(path::VARCHAR) AS k FROM n UNION ALL SELECT conv_id, 0, '', '' FROM i),
+t AS MATERIALIZED (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * length(any_value(text)) AS own FROM p GROUP BY depth, k),
+l AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+e AS (SELECT depth, k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM p JOIN l USING (conv_id, depth) GROUP BY depth, k),
+u AS (SELECT c.depth, c.k, q.k AS parent_k, f.conv_id AS parent FROM t c JOIN p q ON q.conv_id = c.conv_id AND q.depth = c.depth - 1 JOIN t f ON f.depth = q.depth AND f.k = q.k),
+c AS (SELECT depth - 1 AS depth, parent_k AS k, count(*) AS n FROM u GROUP BY ALL),
+s AS (SELECT a.depth, a.k, sum(b.own) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+  FROM t b LEFT JOIN c ON c.depth = b.depth AND c.k = b.k JOIN p a ON a.conv_id = b.conv_id AND a.depth <= b.depth GROUP BY a.depth, a.k)
+SELECT t.conv_id, t.depth::BIGINT AS depth, u.parent AS parent_conv_id, t.n_convs, coalesce(c.n, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves,
+  s.saved::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM t LEFT JOIN u USING (depth, k) LEFT JOIN c USING (depth, k) LEFT JOIN e USING (depth, k) JOIN s USING (depth, k)
+""")
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns, members = shared_openings(table(spark, folder, "conversations"))
+    return prefix_trie.prefix_trie(turns, members, ["part", "pos"]).drop("enter", "exit")
+
+
 def _cluster_sql(k: int = 8, rounds: int = 10) -> str:
     """Distances to all centroids, compared; one chain of steps a round."""
     steps = [
