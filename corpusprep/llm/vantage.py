@@ -21,9 +21,9 @@ SEED = 42
 SAMPLE = 32_768
 _SAMPLE_PART = 8
 #: What moving a fingerprint to one more shard costs, in comparisons of two; a node is split while that saves work.
-MOVE = 4000
+MOVE = 10_000
 #: Fingerprints of one side of a cell; a larger shard is compared in pairs of such groups.
-CELL = 4096
+CELL = 1 << 15
 #: A split that saves less than this share of a node's work is not worth its place in the tree.
 _LEAST_GAIN = 0.07
 #: A node with fewer sampled fingerprints is not split.
