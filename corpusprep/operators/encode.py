@@ -2,7 +2,7 @@
 
 Both directions work row by row in Arrow batches, so the corpus is not
 shuffled. The vocabulary is bounded and its size is checked before it is
-broadcast.
+broadcast. The most frequent words are encoded once, as a table, and looked up.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ import heapq
 import re
 import sys
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +22,14 @@ from corpusprep.functions.text import strip_fences_and_controls
 from corpusprep.functions.tokens import (
     BOS, EOS, FIRST_BYTE, FIRST_LEARNED, MARKER_IDS, MARKER_PATTERN, SPACE_MARK, UNK, WORD_PATTERN,
 )
+from corpusprep.session import cut_lineage
 
 # The helpers travel with the functions, so executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_VOCAB = 2_000_000
-_CACHED_WORDS = 200_000
-_CACHED_LENGTH = 64
+#: Words whose ids are looked up; rarer ones are encoded where they stand.
+HEAD_WORDS = 1 << 17
 
 
 def _bounded_rows(df: DataFrame) -> list:
@@ -70,32 +71,56 @@ def merge_word(word: str, ids: dict[str, int]) -> list[str]:
     return [p for p in pieces if p is not None]
 
 
-def bpe_ids(vocab: DataFrame) -> Callable[[Column], Column]:
+def word_ids(word: str, ids: dict[str, int]) -> list[int]:
+    """Ids of one word; characters outside the vocabulary become their UTF-8 bytes."""
+    out: list[int] = []
+    for piece in merge_word(word, ids):
+        if piece in ids:
+            out.append(ids[piece])
+        else:
+            out.extend(FIRST_BYTE + b for b in piece.encode())
+    return out
+
+
+def _learned(vocab: DataFrame) -> dict[str, int]:
+    return {r.piece: r.id for r in _bounded_rows(vocab.filter(F.col("id") >= FIRST_LEARNED).select("piece", "id"))}
+
+
+def word_table(counts: DataFrame, vocab: DataFrame, limit: int = HEAD_WORDS) -> DataFrame:
+    """(word, ids) of the `limit` most frequent words of (word, n), each encoded once; a written table."""
+    table = vocab.sparkSession.sparkContext.broadcast(_learned(vocab))
+    schema = pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            coded = [word_ids(w, table.value) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(coded, pa.list_(pa.int32()))], schema=schema)
+
+    head = counts.orderBy(F.desc("n"), "word").limit(limit).select("word")
+    spread = head.repartition(vocab.sparkSession.sparkContext.defaultParallelism, "word")
+    return cut_lineage(spread.mapInArrow(encode, "word string, ids array<int>"))
+
+
+def bpe_ids(vocab: DataFrame, words: DataFrame | None = None) -> Callable[[Column], Column]:
     """A function text column -> array of ids, begin and end included.
 
-    Chat markers become their own ids, characters outside the vocabulary their
-    UTF-8 bytes.
+    Chat markers become their own ids, characters outside the vocabulary their UTF-8 bytes.
+    `words` is the table that `word_table` makes; its words, most of any text, are only looked
+    up. At most `HEAD_WORDS` rows of it are broadcast. Others are merged where they stand, which
+    gives the same ids.
     """
-    learned = _bounded_rows(vocab.filter(F.col("id") >= FIRST_LEARNED).select("piece", "id"))
-    table = vocab.sparkSession.sparkContext.broadcast({r.piece: r.id for r in learned})
+    context = vocab.sparkSession.sparkContext
+    table = context.broadcast(_learned(vocab))
+    known = words.limit(HEAD_WORDS).toArrow() if words is not None else None
+    head = context.broadcast(dict(zip(known["word"].to_pylist(), known["ids"].to_pylist())) if known is not None else {})
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids = table.value
+        ids, done = table.value, head.value
         splitter = re.compile(f"({MARKER_PATTERN})")
         word_finder = re.compile(WORD_PATTERN)
 
-        def word_ids(word: str) -> list[int]:
-            out: list[int] = []
-            for piece in merge_word(word, ids):
-                if piece in ids:
-                    out.append(ids[piece])
-                else:
-                    out.extend(FIRST_BYTE + b for b in piece.encode())
-            return out
-
-        cached = lru_cache(_CACHED_WORDS)(word_ids)
-
         def text_ids(text: str | None) -> list[int] | None:
             if text is None:
                 return None
@@ -106,7 +131,8 @@ def bpe_ids(vocab: DataFrame) -> Callable[[Column], Column]:
                     out.append(MARKER_IDS[part])
                     continue
                 for word in word_finder.findall(part):
-                    out.extend(cached(word) if len(word) <= _CACHED_LENGTH else word_ids(word))
+                    found = done.get(word)
+                    out.extend(word_ids(word, ids) if found is None else found)
             out.append(EOS)
             return out
 

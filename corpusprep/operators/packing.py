@@ -13,31 +13,47 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusprep.functions.tokens import BOS, EOS
-from corpusprep.operators.ordered import running
+from corpusprep.operators.ordered import running, slice_rows
 from corpusprep.operators.prefix import running_totals, shuffled_rank
-from corpusprep.session import cut_lineage, join_groups
+from corpusprep.session import compute_once, cut_lineage, join_groups
 
 # Starts per stretch of the sliding windows; bounds the array one row holds.
 _STRETCH = 1024
+_HASHES = ["_h1", "_h2"]
 
 
 def stream_offsets(
     df: DataFrame, n_tokens: Column, key: str = "doc_id", group: Sequence[str] = ()
 ) -> DataFrame:
     """First position of each key's examples in the stream of its group; rows without key have none."""
-    return _key_offsets(df, n_tokens, key, group).drop("n_rows")
+    sized = df.select(*group, key, n_tokens.cast("bigint").alias("n_tokens")).filter(F.col(key).isNotNull())
+    return _key_offsets(cut_lineage(sized), key, group).drop("n_rows")
 
 
-def _key_offsets(df: DataFrame, n_tokens: Column, key: str, group: Sequence[str]) -> DataFrame:
-    sized = df.select(*group, key, n_tokens.cast("bigint").alias("n_tokens"))
-    each = sized.filter(F.col(key).isNotNull()).groupBy(*group, key).agg(
-        F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows")
-    )
+def _key_offsets(sizes: DataFrame, key: str, group: Sequence[str]) -> DataFrame:
+    """Tokens, rows and first position of each key, from a table of row sizes."""
+    each = sizes.groupBy(*group, key).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows"))
     return running_totals(each, key, ["n_tokens", "n_rows"], group).drop("before_n_rows").withColumnRenamed(
         "before_n_tokens", "offset"
     )
 
 
+def _row_offsets(sizes: DataFrame, key: str, group: list[str]) -> DataFrame:
+    """First position and number of copies of each distinct row of keys that repeat.
+
+    Rows of one key stand in the order of their hashes. A key may have any number of rows, so
+    they are added up in slices.
+    """
+    row = [*group, key]
+    parts = sizes.groupBy(*row, *_HASHES).agg(F.first("n_tokens").alias("n_tokens"), F.count("*").alias("copies"))
+    sliced = slice_rows(parts, row, _HASHES)
+    inside = running(sliced, row, _HASHES, {"_before": F.col("n_tokens") * F.col("copies")}, inclusive=False)
+    firsts = _key_offsets(sizes, key, group).select(*row, "offset")
+    there = join_groups(sliced.select(*row, "slice").distinct(), firsts, group, [key])
+    placed = join_groups(inside, there, group, [key, "slice"])
+    return placed.select(*row, *_HASHES, "n_tokens", "copies", (F.col("offset") + F.col("_before")).alias("offset"))
+
+
 def without_key(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows that `with_offsets` leaves out: they have no place in the order."""
     return df.filter(F.col(key).isNull())
@@ -52,22 +68,33 @@ def with_offsets(
 ) -> DataFrame:
     """Group columns, key, ``offset`` and the token array ``ids``.
 
-    Rows that share a key follow each other in the order of a hash of their columns. Without
+    Rows that share a key follow each other in the order of two hashes of their columns. Without
     `n_tokens` the ids are computed once, into a written table.
+
+    The rows are read twice: for their sizes, written as one narrow table from which all sums
+    are made, and to join the positions back. Only where whole rows repeat are they read a third
+    time, one row for all its copies.
     """
     group = list(group)
     keyed = df.filter(F.col(key).isNotNull())
     if n_tokens is None:
         keyed = cut_lineage(keyed.select(*group, key, ids.alias("ids")))
         ids, n_tokens = F.col("ids"), F.size("ids")
-    offsets = _key_offsets(keyed, n_tokens, key, group).drop("n_tokens")
+    hashes = [F.xxhash64(*keyed.columns).alias("_h1"), F.xxhash64(F.lit(1), *keyed.columns).alias("_h2")]
+    sizes = cut_lineage(keyed.select(*group, key, *hashes, n_tokens.cast("bigint").alias("n_tokens")))
     columns = [*group, key, "offset", ids.alias("ids")]
-    once = join_groups(keyed, offsets.filter("n_rows = 1"), group, [key]).select(*columns)
-    # Only keys that repeat are sorted once more; where there are none, this part is empty.
-    same = W.partitionBy(*group, key).orderBy(F.xxhash64(*keyed.columns)).rowsBetween(W.unboundedPreceding, -1)
-    repeated = join_groups(keyed, offsets.filter("n_rows > 1"), group, [key])
-    before = F.coalesce(F.sum(n_tokens.cast("bigint")).over(same), F.lit(0))
-    return once.unionByName(repeated.withColumn("offset", F.col("offset") + before).select(*columns))
+    if sizes.groupBy(*group, key).count().filter("count > 1").isEmpty():
+        offsets = running_totals(sizes, key, ["n_tokens"], group).select(*group, key, F.col("before_n_tokens").alias("offset"))
+        return join_groups(keyed, offsets, group, [key]).select(*columns)
+    offsets = cut_lineage(_row_offsets(sizes, key, group))
+    rows = keyed.select("*", *hashes)
+    once = join_groups(rows, offsets.filter("copies = 1"), group, [key, *_HASHES]).select(*columns)
+    if offsets.filter("copies > 1").isEmpty():
+        return once
+    copied = offsets.filter("copies > 1").withColumnRenamed("n_tokens", "_size")
+    some = join_groups(rows, copied, group, [key, *_HASHES]).dropDuplicates([*group, key, *_HASHES])
+    each = some.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    return once.unionByName(each.withColumn("offset", F.col("offset") + F.col("_copy") * F.col("_size")).select(*columns))
 
 
 def token_stream(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -79,12 +106,8 @@ def token_stream(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def stretches(df: DataFrame, stride: int, halo: int, group: Sequence[str] = ()) -> DataFrame:
-    """Cut the stream every `stride` tokens, each piece followed by `halo` tokens of the next.
-
-    Returns the group columns, ``stretch`` and ``tokens`` (at most stride + halo
-    of them). Examples are sliced before they are shuffled, by stretch number.
-    """
+def _cuts(df: DataFrame, stride: int, halo: int, group: Sequence[str]) -> DataFrame:
+    """The pieces of each stretch in their order, and how many tokens they have."""
     start, end = F.col("offset"), F.col("offset") + F.size("ids").cast("bigint")
     first = F.expr(f"greatest((offset - {halo}) div {stride}, 0)")
     last = F.expr(f"(offset + size(ids) - 1) div {stride}")
@@ -97,26 +120,32 @@ def stretches(df: DataFrame, stride: int, halo: int, group: Sequence[str] = ())
         *group,
         "stretch",
         place.alias("start"),
+        length.alias("length"),
         F.slice("ids", (place - start + 1).cast("int"), length.cast("int")).alias("cut"),
     )
-    return (
-        pieces.groupBy(*group, "stretch")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "cut"))).alias("cuts"))
-        .select(*group, "stretch", F.flatten("cuts.cut").alias("tokens"))
+    return pieces.groupBy(*group, "stretch").agg(
+        F.sort_array(F.collect_list(F.struct("start", "cut"))).alias("cuts"), F.sum("length").alias("n")
     )
 
 
+def stretches(df: DataFrame, stride: int, halo: int, group: Sequence[str] = ()) -> DataFrame:
+    """Cut the stream every `stride` tokens, each piece followed by `halo` tokens of the next.
+
+    Returns the group columns, ``stretch`` and ``tokens`` (at most stride + halo
+    of them). Examples are sliced before they are shuffled, by stretch number.
+    """
+    return _cuts(df, stride, halo, group).select(*group, "stretch", F.flatten("cuts.cut").alias("tokens"))
+
+
 def pack_blocks(df: DataFrame, block: int, group: Sequence[str] = ()) -> DataFrame:
     """Non-overlapping (x, y) pairs; y is x moved on by one token. The remainder is dropped."""
-    return (
-        stretches(df, stride=block, halo=1, group=group)
-        .filter(F.size("tokens") == block + 1)
-        .select(
-            *group,
-            F.col("stretch").alias("block_id"),
-            F.slice("tokens", 1, block).alias("x"),
-            F.slice("tokens", 2, block).alias("y"),
-        )
+    full = _cuts(df, block, 1, group).filter(F.col("n") == block + 1)
+    whole = compute_once(full, [*group, "stretch"], tokens=F.flatten("cuts.cut"))
+    return whole.select(
+        *group,
+        F.col("stretch").alias("block_id"),
+        F.slice("tokens", 1, block).alias("x"),
+        F.slice("tokens", 2, block).alias("y"),
     )
 
 

@@ -15,9 +15,10 @@ from corpusprep.functions.text import ANY_NEWLINE
 from corpusprep.functions.tokens import (
     BOS, EOS, FIRST_BYTE, FIRST_LEARNED, FIRST_MARKER, UNK, words,
 )
+from corpusprep.operators import merges
+from corpusprep.operators.merges import FIRST_MERGE
 from corpusprep.session import cut_lineage, local_frame
 
-FIRST_MERGE = 0x110000  # one past the last code point
 # Fixed value: the longest piece, in characters.
 MAX_PIECE = 16
 # Pairs fetched per round; a round merges a leading run of them.
@@ -91,7 +92,19 @@ def _ranked(pairs: DataFrame) -> DataFrame:
 def learn_merges(counts: DataFrame, n_merges: int, max_piece: int = MAX_PIECE) -> list[tuple]:
     """Up to `n_merges` rows (rank, left piece, right piece, count), best first.
 
-    Equal to merging one best pair at a time. A round takes the leading run of
+    Equal to merging one best pair at a time: the most frequent, of those the one of older
+    symbols. The words stay in the tasks of a barrier stage (`merges.learn`); with dynamic
+    allocation, which has no such stages, every round reads them anew.
+    """
+    if counts.sparkSession.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return learn_merges_in_rounds(counts, n_merges, max_piece)
+    return [(rank, *row) for rank, row in enumerate(merges.learn(counts, n_merges, max_piece))]
+
+
+def learn_merges_in_rounds(counts: DataFrame, n_merges: int, max_piece: int = MAX_PIECE) -> list[tuple]:
+    """The merges of `learn_merges` by ordinary jobs, with pairs counted over all words in each round.
+
+    A round takes the leading run of
     ranked pairs that share no symbol: such merges leave each other's counts
     alone, and a pair with a new symbol is at most as frequent as the old pair
     it comes from, which ranks behind the run, and loses ties by its age. A
@@ -101,14 +114,14 @@ def learn_merges(counts: DataFrame, n_merges: int, max_piece: int = MAX_PIECE) -
     state = symbol_strings(counts)
     state = cut_lineage(state.groupBy("symbols").agg(F.sum("n").alias("n")))
     piece: dict[int, str] = {}
-    merges: list[tuple] = []
+    found: list[tuple] = []
 
     def text(symbol: int) -> str:
         return piece[symbol] if symbol >= FIRST_MERGE else chr(symbol)
 
     too_long: set[tuple[int, int]] = set()
     rounds = 0
-    while len(merges) < n_merges:
+    while len(found) < n_merges:
         pairs = pair_counts(state)
         if too_long:
             known = local_frame(counts.sparkSession, sorted(too_long), "left int, right int")
@@ -122,12 +135,12 @@ def learn_merges(counts: DataFrame, n_merges: int, max_piece: int = MAX_PIECE) -
             if len(text(row.left)) + len(text(row.right)) > max_piece:
                 too_long.add((row.left, row.right))
                 continue
-            if used & {row.left, row.right} or len(merges) == n_merges:
+            if used & {row.left, row.right} or len(found) == n_merges:
                 break
             used |= {row.left, row.right}
-            merged = FIRST_MERGE + len(merges)
+            merged = FIRST_MERGE + len(found)
             piece[merged] = text(row.left) + text(row.right)
-            merges.append((len(merges), text(row.left), text(row.right), row.n))
+            found.append((len(found), text(row.left), text(row.right), row.n))
             batch.append((row.left, row.right, merged))
             if row.left == row.right:
                 break
@@ -137,7 +150,7 @@ def learn_merges(counts: DataFrame, n_merges: int, max_piece: int = MAX_PIECE) -
         if rounds % _ROUNDS_PER_CHECKPOINT == 0:
             # A word of one symbol has no pair left to count.
             state = cut_lineage(state.filter(F.substring_index("symbols", ";", 2) != F.col("symbols")))
-    return merges
+    return found
 
 
 MERGES_SCHEMA = "rank int, left string, right string, n bigint"
@@ -152,20 +165,26 @@ def train_bpe(
     single characters by falling count. The size is a soft limit: a corpus with
     few pairs gives fewer pieces, one with many characters more.
     """
-    spark = df.sparkSession
-    counts = cut_lineage(word_counts(df, text))
+    return train_on_words(cut_lineage(word_counts(df, text)), vocab_size, max_piece)
+
+
+def train_on_words(
+    counts: DataFrame, vocab_size: int, max_piece: int = MAX_PIECE
+) -> tuple[DataFrame, DataFrame]:
+    """(vocab, merges) as `train_bpe` makes them, of a written table (word, n)."""
+    spark = counts.sparkSession
     chars = char_counts(counts).orderBy(F.desc("n"), "char").collect()  # bounded by Unicode
     n_merges = max(0, vocab_size - FIRST_LEARNED - len(chars))
-    merges = learn_merges(counts, n_merges, max_piece)
-    return vocab_frame(spark, merges, [c.char for c in chars]), local_frame(
-        spark, merges, MERGES_SCHEMA
+    learned = learn_merges(counts, n_merges, max_piece)
+    return vocab_frame(spark, learned, [c.char for c in chars]), local_frame(
+        spark, learned, MERGES_SCHEMA
     )
 
 
-def vocab_frame(spark: SparkSession, merges: list[tuple], chars: list[str]) -> DataFrame:
+def vocab_frame(spark: SparkSession, learned: list[tuple], chars: list[str]) -> DataFrame:
     # Two merges may spell the same piece; it gets one id.
-    learned = list(dict.fromkeys(left + right for _, left, right, _ in merges))
-    rows = [(FIRST_LEARNED + i, p, "piece") for i, p in enumerate([*learned, *chars])]
+    pieces = list(dict.fromkeys(left + right for _, left, right, _ in learned))
+    rows = [(FIRST_LEARNED + i, p, "piece") for i, p in enumerate([*pieces, *chars])]
     return base_vocab(spark).unionByName(local_frame(spark, rows, VOCAB_SCHEMA))
 
 

@@ -9,13 +9,14 @@ from corpusprep.functions import text as T
 from corpusprep.functions import tokens as K
 from corpusprep.functions import vectors
 from corpusprep.operators import packing as P
+from corpusprep.operators.encode import bpe_ids
 from corpusprep.operators.ordered import slice_rows
 from corpusprep.plans import duck
 from corpusprep.plans.cleaning import PARAGRAPHS
 from corpusprep.plans.fixtures import dirty
 from corpusprep.plans.records import _SFT, _examples
 from corpusprep.plans.registry import Tables, query
-from corpusprep.plans.tokens import joined
+from corpusprep.plans.tokens import corpus_vocab, joined
 from corpusprep.sources.text import split_paragraphs
 
 BLOCK, WINDOW, BATCH, SEED = 256, 32, 16, 7
@@ -265,13 +266,24 @@ def sft_blocks(t: Tables) -> DataFrame:
     """JSON lines to chat examples, tokens, blocks and ordered batches, with x and y."""
     examples, _ = _examples(t)
     example = F.col("example")
-    ids = P.with_offsets(examples, K.byte_ids(example), K.byte_token_count(example), key="line_no")
+    return _block_digests(P.with_offsets(examples, K.byte_ids(example), K.byte_token_count(example), key="line_no"))
+
+
+def _block_digests(ids: DataFrame) -> DataFrame:
     batches = P.make_batches(P.pack_blocks(ids, BLOCK), BATCH, shuffle=False, drop_last=False)
     return batches.select("block_id", "batch_id", _wide_digest(F.col("x")).alias("x"), _wide_digest(F.col("y")).alias("y"))
 
 
+@query()
+def sft_blocks_bpe(t: Tables) -> DataFrame:
+    """`sft_blocks` with the vocabulary learned on the merged corpus."""
+    pieces, _, words = corpus_vocab(t)
+    examples, _ = _examples(t)
+    return _block_digests(P.with_offsets(examples, bpe_ids(pieces, words)(F.col("example")), key="line_no"))
+
+
 @query(
-    f"""{PARAGRAPHS}, ids AS (SELECT doc_id * 100000 + paragraph_no AS k, {duck.byte_list("text")} AS ids FROM paragraphs),
+    f"""{PARAGRAPHS}, ids AS (SELECT doc_id * 2147483648 + paragraph_no AS k, {duck.byte_list("text")} AS ids FROM paragraphs),
     offsets AS (SELECT k, coalesce(sum(len(ids)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM ids),
     stream AS (SELECT o + generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS token FROM ids JOIN offsets USING (k)),
     windows AS (SELECT pos AS start, list(token) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS x,
@@ -288,12 +300,29 @@ def lm_windows(t: Tables) -> DataFrame:
     Whole windows are compared, by a digest of every 64 batches.
     """
     cleaned = dirty(t).select("doc_id", T.clean_text(F.col("text")).alias("text"))
-    keyed = split_paragraphs(cleaned, "text").withColumn("k", F.col("doc_id") * 100_000 + F.col("paragraph_no"))
+    keyed = split_paragraphs(cleaned, "text").withColumn("k", _paragraph_key())
     text = F.col("text")
-    ids = P.with_offsets(keyed, K.byte_ids(text), K.byte_token_count(text), key="k")
+    return _window_digests(P.with_offsets(keyed, K.byte_ids(text), K.byte_token_count(text), key="k"))
+
+
+def _paragraph_key() -> Column:
+    """Document and paragraph as one number; a paragraph number has 31 bits, and a sum above 63 raises an error."""
+    return F.col("doc_id") * 2**31 + F.col("paragraph_no")
+
+
+def _window_digests(ids: DataFrame) -> DataFrame:
     batches = P.make_batches(P.sliding_windows(ids, WINDOW), BATCH, key="start", seed=SEED)
     row = F.concat(F.col("batch_id").cast("string"), F.lit(":"), F.col("start").cast("string"), F.lit(":"), joined(F.col("x")), F.lit("|"), joined(F.col("y")))
     digest = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("bigint")
     return batches.groupBy(F.expr("batch_id div 64").alias("part")).agg(
         F.count("*").alias("windows"), F.bit_xor(digest).alias("digest")
     )
+
+
+@query()
+def lm_windows_bpe(t: Tables) -> DataFrame:
+    """`lm_windows` with the vocabulary learned on the merged corpus."""
+    pieces, _, words = corpus_vocab(t)
+    cleaned = dirty(t).select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    keyed = split_paragraphs(cleaned, "text").withColumn("k", _paragraph_key())
+    return _window_digests(P.with_offsets(keyed, bpe_ids(pieces, words)(F.col("text")), key="k"))

@@ -9,10 +9,12 @@ from corpusprep.functions import tokens as K
 from corpusprep.functions.labels import size_label
 from corpusprep.operators import records as R
 from corpusprep.operators import sizing as Z
+from corpusprep.operators.encode import bpe_ids
 from corpusprep.plans import duck
 from corpusprep.plans.fixtures import configs, ctes, json_lines
-from corpusprep.plans.records import _SFT
+from corpusprep.plans.records import _SFT, _examples
 from corpusprep.plans.registry import Tables, query
+from corpusprep.plans.tokens import corpus_vocab
 from corpusprep.session import cut_lineage
 
 _BLOCK, _BATCH, _EPOCHS = 64, 4, 2
@@ -36,6 +38,14 @@ def exact_steps(t: Tables) -> DataFrame:
     return Z.exact_steps(t.documents, K.byte_token_count(F.col("text")), _BLOCK, _BATCH, _EPOCHS)
 
 
+@query()
+def exact_steps_bpe(t: Tables) -> DataFrame:
+    """Steps of the chat examples, counted in tokens of the vocabulary learned on the merged corpus."""
+    pieces, _, words = corpus_vocab(t)
+    coded = _examples(t)[0].select(bpe_ids(pieces, words)(F.col("example")).alias("ids"))
+    return Z.exact_steps(coded, F.size("ids"), _BLOCK, _BATCH, _EPOCHS)
+
+
 def _estimate_sql(max_bytes: int, max_examples: int) -> str:
     return f"""SELECT cast(sum(n_bytes) AS bigint) AS file_bytes,
         cast(sum(n_bytes) FILTER (line_no <= last) AS bigint) AS sample_bytes,

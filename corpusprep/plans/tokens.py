@@ -9,10 +9,12 @@ from corpusprep.functions import tokens as K
 from corpusprep.operators import encode, vocab
 from corpusprep.plans import duck
 from corpusprep.plans.fixtures import configs, ctes
-from corpusprep.plans.records import _HEADER_SQL, _PAIRS, _rendered
+from corpusprep.plans.records import _HEADER_SQL, _PAIRS, _rendered, corpus_messages, corpus_union
 from corpusprep.plans.registry import Tables, query
+from corpusprep.session import cut_lineage
 
-N_MERGES = 12
+# Merges of the queries whose SQL spells them out, and of those over the merged corpus.
+N_MERGES, CORPUS_MERGES = 12, 2000
 
 
 def joined(ids: Column) -> Column:
@@ -110,11 +112,15 @@ def bpe_merges(t: Tables) -> DataFrame:
 # --- encoding with characters only, and with the learned merges ---------------
 
 
+def _learned(texts: DataFrame, n_merges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vocabulary with exactly `n_merges` merged pieces asked for, the merges, and the word counts of the texts."""
+    counts = cut_lineage(vocab.word_counts(texts))
+    size = K.FIRST_LEARNED + vocab.char_counts(counts).count() + n_merges
+    return *vocab.train_on_words(counts, size), counts
+
+
 def _vocab(t: Tables, n_merges: int) -> DataFrame:
-    """Vocabulary of the documents with exactly `n_merges` merged pieces asked for."""
-    counts = vocab.word_counts(t.documents)
-    n_chars = vocab.char_counts(counts).count()
-    return vocab.train_bpe(t.documents, K.FIRST_LEARNED + n_chars + n_merges)[0]
+    return _learned(t.documents, n_merges)[0]
 
 
 def _vocab_sql(n_merges: int, merged: str) -> str:
@@ -138,7 +144,8 @@ def _encode_sql(state: str) -> str:
 
 
 def _encoded(t: Tables, n_merges: int) -> DataFrame:
-    ids = encode.bpe_ids(_vocab(t, n_merges))(F.col("text"))
+    pieces, _, counts = _learned(t.documents, n_merges)
+    ids = encode.bpe_ids(pieces, encode.word_table(counts, pieces))(F.col("text"))
     coded = t.documents.select("doc_id", ids.alias("ids"))
     return coded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), joined(F.col("ids")).alias("ids")
@@ -181,6 +188,34 @@ def decode_roundtrip(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", encode.bpe_text(pieces)(ids).alias("text"))
 
 
+# --- a vocabulary of the merged corpus ----------------------------------------
+
+
+def merged_corpus(t: Tables) -> DataFrame:
+    """Text lines, record fields and chat messages, in one column ``text``."""
+    return corpus_union(t).select("text").unionByName(corpus_messages(t).select("text"))
+
+
+def corpus_vocab(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vocabulary, merges and encoded head words of the merged corpus."""
+    pieces, merges, counts = _learned(merged_corpus(t), CORPUS_MERGES)
+    return pieces, merges, encode.word_table(counts, pieces)
+
+
+@query()
+def bpe_merges_corpus(t: Tables) -> DataFrame:
+    """Two thousand merges of the merged corpus; too many for SQL."""
+    return _learned(merged_corpus(t), CORPUS_MERGES)[1]
+
+
+@query()
+def encode_bpe_corpus(t: Tables) -> DataFrame:
+    """The documents with the vocabulary of the merged corpus."""
+    pieces, _, words = corpus_vocab(t)
+    coded = t.documents.select("doc_id", encode.bpe_ids(pieces, words)(F.col("text")).alias("ids"))
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), joined(F.col("ids")).alias("ids"))
+
+
 # --- reserved pieces and their use ------------------------------------------
 
 _BASE = f"""base AS (

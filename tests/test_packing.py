@@ -117,3 +117,33 @@ def test_null_and_repeated_keys_keep_every_token_once(spark):
         assert got[0] == 4 and got[8:] == [5, 6] and sorted(got[1:8]) == [1, 1, 2, 2, 3, 3, 9]
     left = P.without_key(df).collect()
     assert [r.ids for r in left] == [[7, 7]]
+
+
+def test_repeated_keys_and_whole_rows(spark):
+    """Every token has its place once, rows of a key follow each other, copies of a row too."""
+    rng = random.Random(11)
+    rows = [(rng.choice("ab"), rng.choice([1, 2, 3, 50, 51]), [rng.randrange(9) for _ in range(rng.randrange(4))], "x") for _ in range(120)]
+    rows += [("a", 7, [1, 2, 3], "copy")] * 40 + [("a", 7, [4], str(k)) for k in range(200)] + [("b", None, [5], "no key")]
+    df = spark.createDataFrame(rows, "g string, k bigint, ids array<int>, slice string").repartition(4)
+    for n_tokens in (F.size("ids"), None):
+        placed = P.with_offsets(df, F.col("ids"), n_tokens, key="k", group=["g"]).collect()
+        for g in "ab":
+            mine = sorted((r.offset, len(r.ids), r.k, r.ids) for r in placed if r.g == g)
+            assert sorted((k, i) for _, _, k, i in mine) == sorted((r[1], r[2]) for r in rows if r[0] == g and r[1] is not None)
+            assert sum(n for _, n, _, _ in mine) == max(o + n for o, n, _, _ in mine)
+            ends = 0
+            for offset, n, _, _ in mine:
+                assert offset == ends
+                ends = offset + n
+            keys = [k for _, n, k, _ in mine if n]
+            assert keys == sorted(keys)
+
+
+def test_packing_reads_the_corpus_twice(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    spark.range(500).selectExpr("id as doc_id", "repeat(cast(id as string), 9) as text").write.parquet(path)
+    texts = spark.read.parquet(path)
+    frame = P.with_offsets(texts, F.split("text", "").cast("array<int>"), F.length("text"))
+    plan = P.pack_blocks(frame, 16)._jdf.queryExecution().executedPlan().toString()
+    # The other read was that of the sizes, which are in a table of their own.
+    assert plan.count("/texts]") == 1

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusprep.functions.tokens import FIRST_LEARNED, WORD_PATTERN
-from corpusprep.operators import encode, vocab
+from corpusprep.operators import encode, merges, vocab
 
 spm = pytest.importorskip("sentencepiece")
 
@@ -64,6 +64,49 @@ def test_merges_equal_the_textbook(spark, alphabet, max_piece):
     assert got == textbook(lines, 25, max_piece)
 
 
+def test_two_thousand_merges(spark, monkeypatch):
+    """Several stages, and a small frontier that is counted anew."""
+    monkeypatch.setattr(merges, "STAGE_MERGES", 900)
+    lines = corpus(seed=8, alphabet="abcdefghijklmnopqrstuvwxyz", lines=150)
+    counts = vocab.word_counts(spark.createDataFrame([(t,) for t in lines], "text string"))
+    got = [(rank, *m) for rank, m in enumerate(merges.learn(counts, 2000, 6, frontier=400))]
+    assert len(got) == 2000
+    assert got == textbook(lines, 2000, 6)
+
+
+def test_merges_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(merges, "TASK_WORDS", 100)
+    lines = corpus(seed=8, alphabet="abcdefgh", lines=40)
+    counts = vocab.word_counts(spark.createDataFrame([(t,) for t in lines], "text string"))
+    got = [(rank, *m) for rank, m in enumerate(merges.learn(counts, 40, 16, frontier=50))]
+    assert got == textbook(lines, 40)
+
+
+def test_merges_in_rounds_are_the_same(spark):
+    df = spark.createDataFrame([(t,) for t in corpus(seed=9, alphabet="abc")], "text string")
+    counts = vocab.word_counts(df)
+    assert vocab.learn_merges_in_rounds(counts, 30) == vocab.learn_merges(counts, 30)
+
+
+def test_merges_run_out_and_ties_fill_the_frontier(spark):
+    counts = spark.createDataFrame([("ab", 5), ("cd", 5), ("ef", 5), ("x", 9)], "word string, n bigint")
+    assert merges.learn(counts, 10, 16, frontier=1) == [("a", "b", 5), ("c", "d", 5), ("e", "f", 5)]
+    assert merges.learn(counts, 10, 1) == []
+    assert merges.learn(counts.filter("false"), 10, 16) == []
+
+
+def test_word_table_gives_the_same_ids(spark):
+    lines = corpus(seed=3, lines=20) + ["", "  ab  <|eot_id|> ünknown", None]
+    df = spark.createDataFrame([(t,) for t in lines], "text string")
+    counts = vocab.word_counts(df)
+    pieces, _ = vocab.train_on_words(counts, FIRST_LEARNED + 40)
+    plain = encode.bpe_ids(pieces)
+    for limit in (1, 7, 10_000):
+        looked_up = encode.bpe_ids(pieces, encode.word_table(counts, pieces, limit))
+        rows = df.select(plain(F.col("text")).alias("a"), looked_up(F.col("text")).alias("b")).collect()
+        assert all(r.a == r.b for r in rows)
+
+
 def test_reserved_ids(spark):
     rows = vocab.base_vocab(spark).orderBy("id").collect()
     assert [r.id for r in rows] == list(range(FIRST_LEARNED))
