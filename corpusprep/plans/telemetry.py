@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from corpusprep.functions.loglines import classify, percent_done as percent
 from corpusprep.operators import telemetry as L
 from corpusprep.plans.fixtures import ctes, run_log
 from corpusprep.plans.registry import Tables, query
+from corpusprep.session import scratch_folder
+from corpusprep.sources.textlogs import read_text_logs
 
 _LOG = ctes(run_log=None)
 _TOTAL_STEPS = 100
@@ -180,3 +184,21 @@ FROM {orders}
 )
 def run_names(t: Tables) -> DataFrame:
     return L.run_names(t.sql(_RUNS, orders=t.orders)).select("run_id", "run_name")
+
+
+_LOGS = 16
+
+
+@query(
+    f"""{_LOG} SELECT cast(run_id % {_LOGS} AS varchar) AS run_id, count(*) AS lines, cast(sum(octet_length(encode(line)) + 1) AS bigint) AS n_bytes,
+      bit_xor(cast('0x' || md5(line)[1:15] AS bigint)) AS digest FROM run_log GROUP BY 1"""
+)
+def text_log_scan(t: Tables) -> DataFrame:
+    """The log lines, written as plain text files and read back by the log source."""
+    folder = f"{scratch_folder(t.spark)}/logs-{uuid.uuid4().hex}"
+    run_log(t).select((F.col("run_id") % _LOGS).alias("log"), "line").write.partitionBy("log").text(folder)
+    lines = read_text_logs(t.spark, folder, files="part-.*", run="/log=([^/]*)/")
+    digest = F.conv(F.substring(F.md5("line"), 1, 15), 16, 10).cast("bigint")
+    return lines.groupBy("run_id").agg(
+        F.count("*").alias("lines"), F.sum(F.octet_length("line") + 1).cast("bigint").alias("n_bytes"), F.bit_xor(digest).alias("digest")
+    )
