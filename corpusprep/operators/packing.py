@@ -85,7 +85,8 @@ def with_offsets(
     columns = [*group, key, "offset", ids.alias("ids")]
     if sizes.groupBy(*group, key).count().filter("count > 1").isEmpty():
         offsets = running_totals(sizes, key, ["n_tokens"], group).select(*group, key, F.col("before_n_tokens").alias("offset"))
-        return join_groups(keyed, offsets, group, [key]).select(*columns)
+        # Written, so that the join knows its size.
+        return join_groups(keyed, cut_lineage(offsets), group, [key]).select(*columns)
     offsets = cut_lineage(_row_offsets(sizes, key, group))
     rows = keyed.select("*", *hashes)
     once = join_groups(rows, offsets.filter("copies = 1"), group, [key, *_HASHES]).select(*columns)
@@ -116,7 +117,9 @@ def _cuts(df: DataFrame, stride: int, halo: int, group: Sequence[str]) -> DataFr
     place = F.greatest(opens, start)
     length = F.least(opens + stride + halo, end) - place
     # Sliced after the explode, where generated code copies only the slice.
-    pieces = df.select(*group, "offset", "ids", F.explode(reached).alias("stretch")).select(
+    # Outer, as an inner explode infers a filter on the ids and computes them twice.
+    placed = df.select(*group, "offset", "ids", F.explode_outer(reached).alias("stretch")).filter(F.col("stretch").isNotNull())
+    pieces = placed.select(
         *group,
         "stretch",
         place.alias("start"),
