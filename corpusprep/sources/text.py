@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusprep.functions.text import (
     ANY_NEWLINE, clean_text, drop_bad_utf8, normalise_newlines, ustrip,
 )
+from corpusprep.operators.ordered import running, slice_rows
 from corpusprep.session import compute_once
 
 
@@ -62,6 +63,27 @@ def split_paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def scan_paragraphs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, paragraph_no, text): the paragraphs of `scan_documents`, of files that are read in splits.
+
+    Lines are cleaned one by one, and a blank one ends a paragraph; decoded tags may add line breaks
+    of their own. The blank lines before each line are counted in slices along the file, so no
+    file is held as a whole, only a paragraph. Numbers grow within a file and may have gaps. A
+    byte-order mark that opens a file is left out.
+    """
+    lines = ordered_lines(spark, path, "raw")
+    # A carriage return that a tag leaves at the end of a line belongs to its break.
+    body = F.replace(F.regexp_replace(clean_text(F.col("raw")), r"\r\z", ""), F.lit("\r\n"), F.lit("\n"))
+    parts = lines.select("path", "block", "line", F.posexplode(F.split(body, "\n")).alias("part", "text"))
+    place = ["block", "line", "part"]
+    blank = F.when(F.col("text") == "", 1).otherwise(0)
+    counted = running(slice_rows(parts, ["path"], place), ["path"], place, {"paragraph_no": blank})
+    ordered = F.sort_array(F.collect_list(F.struct(*place, "text")))
+    whole = counted.filter(F.col("text") != "").groupBy("path", "paragraph_no").agg(ordered.alias("rows"))
+    texts = compute_once(whole, ["path", "paragraph_no"], text=ustrip(F.array_join("rows.text", "\n")))
+    return texts.filter(F.col("text") != "")
+
+
 def write_corpus(df: DataFrame, path: str, text: str = "text") -> None:
     """One cleaned line per row, replacing what the path held."""
     df.select(text).write.mode("overwrite").text(path)

@@ -58,6 +58,28 @@ def test_listings(spark, tmp_path):
     assert found["z.gguf"] == "z.gguf"
 
 
+def test_paragraphs_of_a_split_file(spark, tmp_path):
+    """Many splits, mixed line breaks, fences and tags at their borders: the rows of the whole-text scan."""
+    rng = random.Random(2)
+    bits = ["one line", "two\nlines", "a <0x0A> tag", "tag <0x0D>", "<0x0A>", "```py\nx = 1\n```", " ", "self CR", "ü — ", "x" * 300, "", "\t", "CR13"]
+    for k, newline in enumerate(["\n", "\r\n", "\r"]):
+        made = "".join(rng.choice(bits) + newline * rng.choice([1, 1, 2, 3]) for _ in range(150))
+        (tmp_path / f"f{k}.txt").write_bytes(made.replace("\n", newline).encode() + b"\xff end")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    want = text.split_paragraphs(text.scan_documents(spark, str(tmp_path))).collect()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = text.scan_paragraphs(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+    def texts(rows):
+        return [(r.path, r.text) for r in sorted(rows, key=lambda r: (r.path, r.paragraph_no))]
+
+    assert texts(got) == texts(want) and len(want) > 100
+
+
 def test_manifest_tables(spark, tmp_path):
     spark.createDataFrame([("m", "k", "1", "int", None)], manifest.KV_SCHEMA).write.parquet(str(tmp_path / "kv"))
     spark.createDataFrame([("m", "t", [2, 3], "F16", 12)], manifest.TENSOR_SCHEMA).write.parquet(str(tmp_path / "t"))
