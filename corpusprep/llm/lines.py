@@ -420,6 +420,17 @@ def _grouped(
     links = cut_lineage(_verified(stars, codes(stars), percent))
     comps = connected_components(links)
 
+    rest = cut_lineage(_rest(shared, comps, stars, facts, alike))
+    more = cut_lineage(_verified(rest, codes(rest), percent))
+    whole = connected_components(links.unionByName(more))
+
+    return _named(lines, nodes, whole)
+
+
+def _rest(
+    shared: DataFrame, comps: DataFrame, stars: DataFrame, facts: DataFrame, alike: Callable[[str, str, str, str], Column]
+) -> DataFrame:
+    """The pairs of each bucket that may be alike, were not compared yet and are not connected."""
     own = shared.join(comps, F.col("node") == F.col("id"), "left").select("key", "node", "hub", F.coalesce("component", "node").alias("comp"))
     at = comps.select(F.col("id").alias("hub"), F.col("component").alias("hub_comp"))
     own = own.join(at, "hub", "left").withColumn("apart", F.col("comp") != F.coalesce("hub_comp", "hub"))
@@ -428,13 +439,13 @@ def _grouped(
     others = own.select("key", F.col("node").alias("node2"), F.col("sim").alias("sim2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("apart").alias("apart2"))
     rest = own.filter("apart").join(others, "key").filter(
         (F.col("comp") != F.col("comp2")) & (~F.col("apart2") | (F.col("node") < F.col("node2"))) & alike("sim", "sim2", "n", "n2"))
-    rest = rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(
+    return rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(
         stars.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")),
         (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti")
-    rest = cut_lineage(rest)
-    more = cut_lineage(_verified(rest, codes(rest), percent))
-    whole = connected_components(links.unionByName(more))
 
+
+def _named(lines: DataFrame, nodes: DataFrame, whole: DataFrame) -> DataFrame:
+    """Every line with the one that stays of its group; `whole` has the components of nodes with links."""
     member = nodes.join(whole, F.col("node") == F.col("id"), "left").select(
         "h1", "h2", "first", "copies", F.coalesce("component", "node").alias("group"))
     groups = member.groupBy("group").agg(F.min("first").alias("keep"), F.sum("copies").alias("size"))

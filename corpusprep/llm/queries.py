@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusprep.llm import (
-    centroids, decontaminate, exact_dedup, langid, lines, minhash, mixing, prefix_trie, quotes, sharding, toxicity, vantage, warc,
+    centroids, decontaminate, exact_dedup, langid, minhash, mixing, prefix_trie, quotes, sharding, simhash_lines,
+    toxicity, vantage, warc,
 )
 from corpusprep.llm.common import small_side
 from corpusprep.session import cut_lineage, local_frame
@@ -179,7 +180,7 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op5_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
-    found = lines.similar_lines(table(spark, folder, "documents"))
+    found = simhash_lines.fuzzy_lines(table(spark, folder, "documents"))
     return found.withColumnsRenamed({"id": "doc_id", "keep_id": "keep_doc_id"})
 
 
