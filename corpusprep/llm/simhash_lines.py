@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,6 +30,9 @@ BUCKET = 256
 _STEP = 1 << 17
 #: For each byte, its eight bits as eight byte-wide counters.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+#: White space for all but lower-case letters.
+_LETTERS = bytes(b if 97 <= b <= 122 else 32 for b in range(256))
+_ODD, _RUN = re.compile(r"[\d_]"), re.compile(r"\w+")
 _LINE = pa.schema([
     ("id", pa.int64()), ("line_no", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()),
     *[(f"s{k}", pa.int64()) for k in range(PARTS)], ("words", pa.string()),
@@ -39,13 +43,23 @@ _LINE_DDL = ", ".join(f"{name} {'string' if name == 'words' else 'bigint'}" for
 class _Words(dict):
     """The hash of a lower-cased word, that of 0 for any number."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) >= 1 << 19:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest("0" if word[0].isdigit() else word)
+        value = self[word] = xxhash.xxh3_64_intdigest("0" if word[:1].isdigit() else word)
         return value
 
 
+def split_words(line: str) -> list:
+    """The words of a lower-cased line as `line_words` has them, in bytes where the line is ASCII without digits."""
+    if line.isascii():
+        raw = line.encode()
+        if len(raw.translate(None, b"0123456789_")) == len(raw):
+            return raw.translate(_LETTERS).split()
+        return _WORD.findall(line)
+    return _WORD.findall(line) if _ODD.search(line) else _RUN.findall(line)
+
+
 def simhashes(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """SimHash of each run of word hashes, a row of `PARTS` numbers; runs are not empty.
 
@@ -90,7 +104,7 @@ def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, text in zip(batch.column("id").to_pylist(), batch.column("text")):
             for number, line in enumerate((text.as_py() or "").lower().split("\n")):
-                found = _WORD.findall(line)
+                found = split_words(line)
                 rows.append((row, number, len(found)))
                 if found:
                     parts.append(np.fromiter(map(cache.__getitem__, found), np.uint64, len(found)))
@@ -166,12 +180,12 @@ def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             facts.toDF("hub", "hub_sim", "hub_n"), "hub").filter(alike("sim", "hub_sim", "n", "hub_n"))
         pairs = pairs.unionByName(stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
     pairs = cut_lineage(pairs.distinct())
-    links = cut_lineage(_verified(pairs, _codes(lines, nodes, pairs), percent))
-    whole = connected_components(links)
+    whole = connected_components(_links(lines, nodes, pairs, percent))
     if crowded:
         rest = cut_lineage(_rest(shared, whole, pairs, facts, alike))
-        more = cut_lineage(_verified(rest, _codes(lines, nodes, rest), percent))
-        whole = connected_components(links.unionByName(more))
+        # A component is named by a node of its own, so its name stands for the rest of it.
+        first = whole.select(F.col("id").alias("a"), F.col("component").alias("b")).filter("a <> b")
+        whole = connected_components(first.unionByName(_links(lines, nodes, rest, percent)))
     return _named(lines, nodes, whole)
 
 
@@ -188,6 +202,23 @@ def _alike(percent: int, s: str, t: str, n: str, m: str, s1: str, t1: str) -> Co
     return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (differ <= DISTANCE)
 
 
+def _links(lines: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links that give the components of all `pairs` which reach the threshold.
+
+    Each line is compared with the smallest of its pairs first; in a group of variants that
+    connects nearly all. Only pairs that are still apart are compared then.
+    """
+    first = cut_lineage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = cut_lineage(_verified(first, _codes(lines, nodes, first), percent))
+    known = connected_components(links)
+    one = known.select(F.col("id").alias("a"), F.col("component").alias("one"))
+    two = known.select(F.col("id").alias("b"), F.col("component").alias("two"))
+    left = pairs.join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("one", "a") != F.coalesce("two", "b"))
+    left = cut_lineage(left.select("a", "b").join(first.select(F.col("a").alias("_a"), F.col("b").alias("_b")),
+                                                  (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"))
+    return links.unionByName(cut_lineage(_verified(left, _codes(lines, nodes, left), percent)))
+
+
 def _codes(lines: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``node, words`` of the ends of `pairs`."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -74,6 +74,15 @@ def test_simhash_of_short_and_long_lines():
     assert [[int(x) for x in row] for row in got] == [plain_simhash(ws) for ws in many]
 
 
+@pytest.mark.parametrize("line", [
+    "", "  ", "Plain words, here.", "a1b2 c_d 007", "caf\u00e9 \u00c9t\u00e9_3 na\u00efve", "\u4f60\u597d world", "x\u00b2 \u0664\u0665 \u0130stanbul", "tab\tand\x1fseparator",
+])
+def test_words_of_a_line(line):
+    cache = simhash_lines._Words()
+    got = [cache[w] for w in simhash_lines.split_words(line.lower())]
+    assert got == [xxhash.xxh3_64_intdigest(w) for w in lines.line_words(line)]
+
+
 @pytest.mark.parametrize("bucket", [simhash_lines.BUCKET, 2])
 def test_against_brute_force(spark, bucket):
     rows = corpus()
