@@ -125,8 +125,8 @@ def toxicity_model(spark: SparkSession, documents: DataFrame, folder: str) -> to
     """Learned from the labels of documents outside the held-out fold."""
     labels = table(spark, folder, "labels").filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = labels.filter(~held_out(0, 5)).withColumnRenamed("doc_id", "_labelled")
-    rows = documents.join(small_side(known), documents["doc_id"] == F.col("_labelled"))
-    return toxicity.learn(rows.select(documents["text"], "toxic"))
+    texts = documents.select("doc_id", "text")  # other columns may have the names of labels
+    return toxicity.learn(texts.join(small_side(known), F.col("doc_id") == F.col("_labelled")).select("text", "toxic"))
 
 
 @query()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusprep.llm.components import connected_components
 from corpusprep.llm.hashing import _A, mix
-from corpusprep.llm.lines import _WORD, _named, _rest, _texts, _verified
+from corpusprep.llm.lines import _WORD, _named, _rest, _texts, _verified, parities
 from corpusprep.session import cut_lineage
 
 #: A SimHash has 64 bits for each of so many hashes of a word.
@@ -35,7 +35,7 @@ _LETTERS = bytes(b if 97 <= b <= 122 else 32 for b in range(256))
 _ODD, _RUN = re.compile(r"[\d_]"), re.compile(r"\w+")
 _LINE = pa.schema([
     ("id", pa.int64()), ("line_no", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()),
-    *[(f"s{k}", pa.int64()) for k in range(PARTS)], ("words", pa.string()),
+    *[(f"s{k}", pa.int64()) for k in range(PARTS)], ("p", pa.int64()), ("words", pa.string()),
 ])
 _LINE_DDL = ", ".join(f"{name} {'string' if name == 'words' else 'bigint'}" for name in _LINE.names)
 
@@ -85,11 +85,13 @@ def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.array([r[2] for r in rows], np.int64)
         sims = np.zeros((len(rows), PARTS), np.uint64)
         names = np.zeros((len(rows), 2), np.uint64)
+        odd = np.zeros(len(rows), np.uint64)
         words = [""] * len(rows)
         full = np.flatnonzero(lengths)
         if len(full):
             hashes = np.concatenate(parts)
             sims[full] = simhashes(hashes, lengths[full])
+            odd[full] = parities(hashes, np.concatenate(([0], np.cumsum(lengths[full])[:-1])), lengths[full])
             names[full] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), np.uint64).reshape(-1, 2)
             # A character for each word, so that edits of words are edits of characters.
             text = ((mix(hashes) >> np.uint64(44)).astype("<u4") + np.uint32(0x10000)).tobytes().decode("utf-32-le")
@@ -99,6 +101,7 @@ def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())]
         numbers += [pa.array(names[:, k].view(np.int64)) for k in range(2)] + [pa.array(lengths)]
         numbers += [pa.array(sims[:, k].view(np.int64)) for k in range(PARTS)]
+        numbers.append(pa.array(odd.view(np.int64)))
         return pa.RecordBatch.from_arrays([*numbers, pa.array(words, pa.string())], schema=_LINE)
 
     for batch in batches:
@@ -150,7 +153,7 @@ def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Words are equal if their hashes are, of 64 bits for equal lines and of 20 bits in edits.
     """
     lines = cut_lineage(_texts(docs, id_col, text_col).mapInArrow(_lines, _LINE_DDL))
-    sims = [f"s{k}" for k in range(PARTS)]
+    sims = [*[f"s{k}" for k in range(PARTS)], "p"]
     place = F.struct(F.col("id").isNull().alias("unknown"), "id", "line_no")
     nodes = cut_lineage(
         lines.filter("n > 0").groupBy("h1", "h2")
@@ -159,20 +162,20 @@ def fuzzy_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
     # Lines with no word to change are linked with nothing.
     changed = nodes.filter(F.col("n") >= _shortest(percent))
-    keyed = changed.select("node", "n", "s0", "s1", F.explode(_blocks()).alias("key"))
+    keyed = changed.select("node", "n", "s0", "s1", "p", F.explode(_blocks()).alias("key"))
     large = cut_lineage(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter(F.col("size") > bucket))
     crowded = not large.isEmpty()
 
     few = keyed.join(large.select("key"), "key", "left_anti") if crowded else keyed
     one, two = few.alias("one"), few.alias("two")
     pairs = one.join(two, F.col("one.key") == F.col("two.key")).filter(
-        (F.col("one.node") < F.col("two.node")) & _alike(percent, "one.s0", "two.s0", "one.n", "two.n", "one.s1", "two.s1")
+        (F.col("one.node") < F.col("two.node")) & _alike(percent, "one", "two", "one.n", "two.n")
     ).select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
 
-    facts = nodes.select("node", F.struct("s0", "s1").alias("sim"), "n")
+    facts = nodes.select("node", F.struct("s0", "s1", "p").alias("sim"), "n")
 
     def alike(s: str, t: str, n: str, m: str) -> Column:
-        return _alike(percent, f"{s}.s0", f"{t}.s0", n, m, f"{s}.s1", f"{t}.s1")
+        return _alike(percent, s, t, n, m)
 
     if crowded:
         shared = cut_lineage(keyed.select("key", "node").join(large.select("key", "hub"), "key"))
@@ -197,9 +200,15 @@ def _shortest(percent: int) -> int:
     return max(1, longer - 1)
 
 
-def _alike(percent: int, s: str, t: str, n: str, m: str, s1: str, t1: str) -> Column:
-    differ = F.bit_count(F.col(s).bitwiseXOR(F.col(t))) + F.bit_count(F.col(s1).bitwiseXOR(F.col(t1)))
-    return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (differ <= DISTANCE)
+def _alike(percent: int, one: str, two: str, n: str, m: str) -> Column:
+    """Whether SimHashes are near; no pair within the edits fails the tests of lengths and parities."""
+
+    def differ(name: str) -> Column:
+        return F.bit_count(F.col(f"{one}.{name}").bitwiseXOR(F.col(f"{two}.{name}")))
+
+    edits = F.floor(F.greatest(n, m) * (100 - percent) / 100)
+    possible = (F.abs(F.col(n) - F.col(m)) <= edits) & (differ("p") <= 2 * edits)
+    return possible & (differ("s0") + differ("s1") <= DISTANCE)
 
 
 def _links(lines: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
