@@ -218,15 +218,11 @@ def collect_model(rows: DataFrame) -> LanguageModel:
     return LanguageModel(arrays, {})
 
 
-def calibrate(model: LanguageModel, labelled: DataFrame, rows: int = 2_000, spread: float = 4.0) -> LanguageModel:
-    """Set the rejection limit of each language: mean and `spread` deviations of its own texts' entropy.
-
-    This is the only part that looks at a sample, of about `rows` labelled rows.
-    """
-    total = labelled.count()
-    if not total or not model.languages:
+def calibrate(model: LanguageModel, labelled: DataFrame, spread: float = 4.0) -> LanguageModel:
+    """Set the rejection limit of each language: mean and `spread` deviations of the entropy of all its own texts."""
+    if not model.languages:
         return model
-    sample = labelled.select("lang", "text").filter("lang is not null").sample(fraction=min(1.0, rows / total), seed=3)
+    known_rows = labelled.select("lang", "text").filter("lang is not null")
     shared = labelled.sparkSession.sparkContext.broadcast((model.arrays, model.limits))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +234,7 @@ def calibrate(model: LanguageModel, labelled: DataFrame, rows: int = 2_000, spre
             own = [float(bits[i, known[lang]]) if lang in known else math.nan for i, lang in enumerate(langs)]
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(own, pa.float64())], ["lang", "bits"])
 
-    found = sample.mapInArrow(run, "lang string, bits double").filter("not isnan(bits)").groupBy("lang").agg(
+    found = known_rows.mapInArrow(run, "lang string, bits double").filter("not isnan(bits)").groupBy("lang").agg(
         F.avg("bits").alias("m"), F.coalesce(F.stddev("bits"), F.lit(0.0)).alias("s")).collect()
     model.limits = {r.lang: r.m + spread * max(r.s, 0.05) for r in found}
     return model

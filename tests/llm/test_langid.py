@@ -105,6 +105,16 @@ def test_awkward_rows_and_rejection(spark, learned):
     assert open_[2].lang_pred in SOUNDS and open_[2].rejected
 
 
+def test_limits_come_from_all_rows(spark, learned):
+    _, model, _ = learned
+    rows = corpus(random.Random(8), 5_000)
+    model = langid.calibrate(langid.LanguageModel(model.arrays, {}), table(spark, rows))
+    bits = model.entropies([t for _, t, _, _ in rows])
+    for k, lang in enumerate(model.languages):
+        own = bits[[la == lang for _, _, la, _ in rows], k]
+        assert math.isclose(model.limits[lang], own.mean() + 4 * max(own.std(ddof=1), 0.05), rel_tol=1e-9)
+
+
 def test_no_labels_and_no_rows(spark, learned):
     none = langid.collect_model(langid.learn(table(spark, [])))
     assert none.languages == []
