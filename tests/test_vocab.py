@@ -156,3 +156,15 @@ def test_long_word_and_unknown_characters(spark):
 def test_check_vocab(spark):
     configs = spark.createDataFrame([("a", 264), ("b", 300)], "model string, vocab_size int")
     assert [r.model for r in vocab.check_vocab(configs, vocab.base_vocab(spark)).collect()] == ["b"]
+
+
+def test_ids_leave_a_task_in_bounded_series(spark):
+    rows = [[1] * 3000 if i % 3 else (None if i % 2 else []) for i in range(2000)]
+    parts = list(encode.bounded_series(rows))
+    assert [None if r is None else r.tolist() for p in parts for r in p] == rows
+    assert all(sum(len(r) for r in p if r is not None) < encode.BATCH_IDS + 3000 for p in parts)
+    pieces, _ = vocab.train_bpe(spark.createDataFrame([("abc abd",)], "text string"), 270)
+    df = spark.range(0, 300, 1, 1).selectExpr("id", "if(id % 7 = 0, null, repeat('abc xyz ', 900)) AS text")
+    got = df.select("id", encode.bpe_ids(pieces)(F.col("text")).alias("ids")).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(300)) and {r.ids is None for r in got if r.id % 7 == 0} == {True}
+    assert len({tuple(r.ids) for r in got if r.id % 7}) == 1
