@@ -2,13 +2,16 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusprep.functions.tokens import FIRST_LEARNED, WORD_PATTERN
 from corpusprep.operators import encode, merges, vocab
+from corpusprep.session import cut_lineage
 
 spm = pytest.importorskip("sentencepiece")
 
@@ -168,3 +171,36 @@ def test_ids_leave_a_task_in_bounded_series(spark):
     got = df.select("id", encode.bpe_ids(pieces)(F.col("text")).alias("ids")).orderBy("id").collect()
     assert [r.id for r in got] == list(range(300)) and {r.ids is None for r in got if r.id % 7 == 0} == {True}
     assert len({tuple(r.ids) for r in got if r.id % 7}) == 1
+
+
+def test_word_index_holds_few_bytes_a_place():
+    """Places take twelve bytes, and only pairs that can be merged in the stage are indexed."""
+    rng = random.Random(3)
+    sizes = np.array([rng.randrange(2, 14) for _ in range(20_000)])
+    symbols = np.array([ord(rng.choice("abcdefgh")) for _ in range(int(sizes.sum()))], np.int32)
+    known = [(ord(a), ord(b)) for a in "abcdefgh" for b in "abcdefgh"]
+    tracemalloc.start()
+    index = merges.WordIndex([(symbols, sizes, np.ones(len(sizes), np.int64))], known, merges.FIRST_MERGE, 5)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 20 * len(symbols)
+    few = merges.WordIndex([(symbols, sizes, np.ones(len(sizes), np.int64))], known[:2], merges.FIRST_MERGE, 5)
+    assert len(index.where) == 64 and len(few.where) == 2
+
+
+def test_the_last_stage_hands_no_words_on(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(merges, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    counts = vocab.word_counts(spark.createDataFrame([(t,) for t in corpus()], "text string"))
+    assert len(merges.learn(counts, 7, 16)) == 7
+    assert [t.count() for t in written[1:]] == [7]
+
+
+@pytest.mark.parametrize("many", [0, 1 << 14])
+def test_merges_of_pairs_that_overlap(spark, monkeypatch, many):
+    monkeypatch.setattr(merges, "_MANY", many)
+    monkeypatch.setattr(merges, "_CHUNK", 7)
+    monkeypatch.setattr(merges, "STAGE_MERGES", 9)
+    lines = corpus(seed=4, alphabet="aaab") + ["aaaaaaa aaaa bbbbb abababab aa"]
+    counts = vocab.word_counts(spark.createDataFrame([(t,) for t in lines], "text string"))
+    assert [(rank, *m) for rank, m in enumerate(merges.learn(counts, 30, 16))] == textbook(lines, 30)
