@@ -204,3 +204,12 @@ def test_merges_of_pairs_that_overlap(spark, monkeypatch, many):
     lines = corpus(seed=4, alphabet="aaab") + ["aaaaaaa aaaa bbbbb abababab aa"]
     counts = vocab.word_counts(spark.createDataFrame([(t,) for t in lines], "text string"))
     assert [(rank, *m) for rank, m in enumerate(merges.learn(counts, 30, 16))] == textbook(lines, 30)
+
+
+def test_word_counts_of_marks_and_spaces(spark):
+    lines = ["a▁▁b", "▁a", "a▁", "  a   b ", "▁", " ", "", "a ▁ b", "▁  ▁", "a\tb  c", "x\r\n\r\ny z\rw"]
+    found = Counter(w for t in lines for one in re.split("\r\n|\r|\n", t) for w in re.findall(WORD_PATTERN, re.sub(" {2,}", " ", one).strip(" ").replace(" ", "▁")))
+    df = spark.createDataFrame([(t,) for t in [*lines, None]], "text string")
+    counted = vocab.word_counts(df)
+    assert {r.word: r.n for r in counted.collect()} == dict(found)
+    assert "regexp_extract_all" not in counted._jdf.queryExecution().executedPlan().toString()
