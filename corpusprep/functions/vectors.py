@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +30,13 @@ def rms_normalise(vector: Column, eps: float = 1e-5, weight: Column | None = Non
     if weight is None:
         return F.transform(vector, lambda x: x.cast("double") / scale)
     return F.zip_with(vector, weight, lambda x, w: w.cast("double") * x.cast("double") / scale)
+
+
+def running_sums(values: Column) -> Column:
+    """Running sums of a bigint array, in one pass; a built-in fold would copy the sums at each entry."""
+
+    @F.pandas_udf("array<bigint>")
+    def sums(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda row: None if row is None else np.cumsum(row))
+
+    return sums(values)

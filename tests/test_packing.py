@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpusprep import plans
 from corpusprep.functions.vectors import cut_at_stop, left_truncate, rms_normalise
 from corpusprep.operators import packing as P
 from corpusprep.operators.ordered import previous_value, running, slice_rows
@@ -91,6 +93,26 @@ def test_prefix_delta(spark):
     assert [(r.doc_id, r.step, r.delta) for r in got] == [(1, 0, "a"), (1, 1, "b"), (1, 4, "c"), (2, 1, "x")]
 
 
+def test_prefix_delta_shuffles_no_beginnings(spark, tmp_path, monkeypatch):
+    """Only lengths are sliced, and the deltas are those of the texts written out step by step."""
+    long = "\n".join(f"line {i} ☃" * (i % 3) for i in range(400))
+    rows = [(1, long), (2, ""), (3, None), (None, "a\n\nb"), (4, "x\ny"), (4, "x\ny"), (5, "\n\n\n\n\n\n"), (6, "a\nb\nc\nd\ne\nf\ng")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    columns = []
+    monkeypatch.setattr(P, "slice_rows", lambda df, *a: columns.extend(df.dtypes) or slice_rows(df, *a))
+    got = plans.QUERIES["prefix_delta"](spark, str(tmp_path)).collect()
+    want = []
+    for doc_id, text in dict(rows).items():
+        lines, sent = (text.split("\n") if text is not None else []), 0
+        for step in range(len(lines)):
+            shown = "\n".join(lines[: step - 1 if step % 5 == 4 else step + 1])
+            if shown[sent:]:
+                want.append((doc_id, step, shown[sent:]))
+            sent = max(sent, len(shown))
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert columns and all(kind in ("int", "bigint") for _, kind in columns)
+
+
 def test_array_functions(spark):
     df = spark.createDataFrame([([1, 2, 3, 9, 4],), ([],), ([9],)], "a array<int>")
     assert [r[0] for r in df.select(left_truncate(F.col("a"), 2)).collect()] == [[9, 4], [], [9]]
