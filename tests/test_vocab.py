@@ -110,6 +110,19 @@ def test_word_table_gives_the_same_ids(spark):
         assert all(r.a == r.b for r in rows)
 
 
+def test_short_words_merge_as_long_ones(monkeypatch):
+    rng = random.Random(1)
+    for _ in range(200):
+        ids = {c: 100 + k for k, c in enumerate("abc")}
+        for k in range(40):
+            ids.setdefault("".join(rng.choice("abc") for _ in range(rng.randint(2, 5))), k)
+        words = ["".join(rng.choice("abcé") for _ in range(rng.randint(0, 32))) for _ in range(30)]
+        monkeypatch.setattr(encode, "SHORT_WORD", 32)
+        short = [encode.merge_word(w, ids) for w in words]
+        monkeypatch.setattr(encode, "SHORT_WORD", -1)
+        assert short == [encode.merge_word(w, ids) for w in words]
+
+
 def test_reserved_ids(spark):
     rows = vocab.base_vocab(spark).orderBy("id").collect()
     assert [r.id for r in rows] == list(range(FIRST_LEARNED))
