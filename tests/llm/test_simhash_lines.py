@@ -125,3 +125,32 @@ def test_empty_and_awkward_tables(spark):
     assert simhash_lines.fuzzy_lines(table(spark, [])).collect() == []
     got = simhash_lines.fuzzy_lines(table(spark, AWKWARD)).collect()
     assert sorted(str(tuple(r)) for r in got) == brute(AWKWARD)
+
+
+def test_words_of_many_lines_at_once():
+    rng = random.Random(5)
+    letters = "ab cZ1_\n\n \x1f\t.,-'²٤٥éİΣ你好\U0001d7d9\U00010400ͅ­９"
+    cache = simhash_lines._Words()
+    for _ in range(500):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))
+        found, places, lengths = simhash_lines._split(text.lower())
+        want = [lines.line_words(line) for line in text.split("\n")]
+        assert list(lengths) == [len(ws) for ws in want]
+        assert [cache[found[k]] for k in places] == [xxhash.xxh3_64_intdigest(w) for ws in want for w in ws]
+
+
+def test_unlike_lines_of_common_words_are_not_verified(spark, monkeypatch):
+    """SimHashes of lines that share most of their words are near, whatever the order; the words' counts tell them apart."""
+    rng = random.Random(11)
+    common = words(rng, 36)
+    rows = [(k, " ".join(rng.sample(line := common + words(rng, 24), len(line))), "en", "a") for k in range(400)]
+    verified = []
+
+    def counted(pairs, *args):
+        verified.append(pairs.count())
+        return lines._verified(pairs, *args)
+
+    monkeypatch.setattr(simhash_lines, "_verified", counted)
+    got = simhash_lines.fuzzy_lines(table(spark, rows)).collect()
+    assert all(r.kept for r in got)
+    assert sum(verified) < 20
