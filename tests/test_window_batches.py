@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,3 +36,40 @@ def test_windows_are_not_shuffled(spark):
     rows = spark.createDataFrame([(0, 0, list(range(300)))], "id long, offset long, ids array<int>")
     plan = window_batches.shuffled_windows(rows, 8, 4)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("FlatMapCoGroups")]
+
+
+@pytest.mark.parametrize("tokens, exact", [(700, False), (700, True), (10, False), (9, False), (300, True)])
+def test_windows_as_text(spark, tokens, exact):
+    rows = spark.createDataFrame([(0, 0, [(k * k) % 70_001 if tokens == 300 else k % 260 for k in range(tokens)])], "id long, offset long, ids array<int>")
+    plain = window_batches.shuffled_windows(rows, 8, 4, seed=2, exact=exact)
+    text = window_batches.shuffled_windows(rows, 8, 4, seed=2, exact=exact, text=True)
+    assert text.dtypes[1:3] == [("x", "binary"), ("y", "binary")]
+    want = {(r.start, " ".join(map(str, r.x)), " ".join(map(str, r.y)), r.batch_id) for r in plain.collect()}
+    assert {(r.start, r.x.decode(), r.y.decode(), r.batch_id) for r in text.collect()} == want
+
+
+@pytest.mark.parametrize("seed", [0, 7, 10**44])
+def test_hashes_are_md5(seed):
+    starts = np.array(sorted({*range(120), *[10**k + d for k in range(2, 19) for d in (-1, 0, 1)], 2**32, 2**62, *range(99_000, 120_000)}))
+    high, low = window_batches._hashes(starts, seed)
+    for start, a, b in zip(starts.tolist(), high.tolist(), low.tolist()):
+        assert (a << 64 | b) == int(md5(b"%d:%d" % (seed, start)).hexdigest(), 16)
+
+
+def test_windows_take_three_bytes_of_shuffle():
+    """What one start costs on the way to its group of hashes and back, with as many starts as a group and a chunk have."""
+    rng = np.random.default_rng(1)
+    gaps, batches = rng.geometric(1 / 512, 2048), np.sort(rng.integers(0, 20_000, 2048))
+    there, back = window_batches._packed(gaps), window_batches._packed(np.diff(batches, prepend=0))
+    assert (window_batches._unpacked(there, 2048) == gaps).all() and len(there) < 1.7 * 2048 and len(back) < 2048
+    wide = np.array([0, 2**40, 1])
+    assert (window_batches._unpacked(window_batches._packed(wide), 3) == wide).all()
+    assert (window_batches._unpacked(window_batches._packed(np.zeros(5, np.int64)), 5) == 0).all()
+
+
+def test_digests_are_made_once(spark):
+    from corpusprep.plans.packing import _window_digests
+
+    rows = spark.createDataFrame([(0, 0, list(range(300)))], "id long, offset long, ids array<int>")
+    plan = _window_digests(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and plan.count("array_join") == 0
