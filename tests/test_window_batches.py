@@ -70,6 +70,16 @@ def test_windows_take_three_bytes_of_shuffle():
 def test_digests_are_made_once(spark):
     from corpusprep.plans.packing import _window_digests
 
-    rows = spark.createDataFrame([(0, 0, list(range(300)))], "id long, offset long, ids array<int>")
-    plan = _window_digests(rows)._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.createDataFrame([(0, list(range(300)))], "id long, ids array<int>")
+    plan = _window_digests(*P.with_offsets_and_total(rows, F.col("ids"), key="id"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5(") == 1 and plan.count("array_join") == 0
+
+
+def test_total_of_a_stream(spark):
+    rows = spark.createDataFrame([(0, [5, 300, 7], "a"), (1, [70_000], "a"), (1, [70_000], "a"), (2, [], "b"), (None, [1], "b")], "id long, ids array<int>, g string")
+    found, total = P.with_offsets_and_total(rows, F.col("ids"), F.size("ids"), key="id")
+    assert total.first().n_tokens == 5 and sorted(tuple(r) for r in found.select("id", "offset").collect()) == [(0, 0), (1, 3), (1, 4), (2, 5)]
+    assert {tuple(r) for r in P.with_offsets_and_total(rows, F.col("ids"), key="id", group=["g"])[1].collect()} == {("a", 5), ("b", 0)}
+    assert P.with_offsets_and_total(rows.limit(0), F.col("ids"), key="id")[1].first().n_tokens == 0
+    windows = window_batches.shuffled_windows(found, 1, 1, exact=True, drop_last=False)
+    assert {(r.start, r.x[0], r.y[0]) for r in windows.collect()} == {(0, 5, 300), (1, 300, 7), (2, 7, 70_000), (3, 70_000, 70_000)}
